@@ -122,13 +122,23 @@ def types_by_name(name: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
+#: A character of a word, in any script.
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def any_script(pattern: str) -> str:
+    """The pattern with digits, blanks and word borders of every script."""
+    p = pattern.replace(r"[-.\s]", r"[-.\s\p{Z}]").replace(r"\s?", r"[\s\p{Z}]?").replace(r"\s\d", r"[\s\p{Z}]\d").replace(r"\d", r"\p{Nd}")
+    return p.replace(r"\b", f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
+
+
 def types_by_value(text: Column) -> Column:
     """Sorted array of the types whose patterns occur in a text."""
     found = []
     for t, patterns in VALUE_RULES:
-        hit = text.rlike(patterns[0])
+        hit = text.rlike(any_script(patterns[0]))
         for p in patterns[1:]:
-            hit = hit | text.rlike(p)
+            hit = hit | text.rlike(any_script(p))
         found.append(F.when(hit, F.lit(t)))
     return F.array_sort(F.array_compact(F.array(*found)))
 
