@@ -184,7 +184,7 @@ _PLAIN = r"regexp_replace(regexp_replace(lower(name), '\.[a-z0-9]+$', ''), '[^\p
 
 @R.add(
     "infer_N13_J11_across",
-    f"""WITH a AS (SELECT id, regexp_replace({_PLAIN}, '[0-9]+$', '') AS p, split_part(connector_id, '_', 1) AS f FROM assets), b AS (SELECT p, f, count(*) AS n, min(id) AS m FROM a WHERE p <> '' GROUP BY 1, 2),
+    f"""WITH a AS (SELECT id, regexp_replace({_PLAIN}, '[0-9]+$', '') AS p, split_part(connector_id, '_', 1) AS f FROM assets), b AS (SELECT p, f, count(*) AS n, min(id) AS m FROM a WHERE p <> '' AND f IS NOT NULL GROUP BY 1, 2),
     c AS (SELECT p, sum(n)::BIGINT AS t, min(m) AS class_id FROM b GROUP BY 1 HAVING count(*) > 1) SELECT a.id, c.class_id, a.f AS platform, c.t - b.n AS n_links, 0.75::DOUBLE AS confidence FROM a JOIN b USING (p, f) JOIN c USING (p)""",
 )
 def n_across(t):
