@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.util import arrow_map
+from metaloom.util import arrow_map, cut
 
 #: Default-ignorable code points (fixed values of the character database).
 IGNORABLE = "00AD 034F 061C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF"
@@ -130,7 +130,7 @@ def same_look_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Pairs are made between the distinct texts of one normal form whose visible form is equal too, and
     only then widened to the documents that hold these texts."""
-    f = forms(docs, key, text)
+    f = cut(forms(docs, key, text), "forms")  # read four times below, normalised once
     c = _text_classes(f, key).select("norm_id", "look_id", "text_id")
     a, b = c.withColumnRenamed("text_id", "a"), c.withColumnRenamed("text_id", "b")
     pairs = a.join(b, ["norm_id", "look_id"]).where("a < b").select("look_id", "a", "b")
@@ -145,7 +145,7 @@ def look_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, class_id, n_texts, n_links), one row per document with a text: class_id is the smallest key
     that looks the same, n_texts the number of different texts in the class, n_links the number of
     documents that look the same with another text. Linear in the documents, whatever the classes."""
-    f = forms(docs, key, text)
+    f = cut(forms(docs, key, text), "forms")
     t = _text_classes(f, key)
     g = t.groupBy("norm_id", "look_id").agg(F.min("rep").alias("class_id"), F.count("*").alias("n_texts"), F.sum("n").alias("n_docs"))
     s = t.join(g, ["norm_id", "look_id"]).select("look_id", "text_id", "class_id", "n_texts", (F.col("n_docs") - F.col("n")).alias("n_links"))
