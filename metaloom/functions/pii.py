@@ -122,18 +122,17 @@ def types_by_name(name: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
-#: A character of a word, in any script.
-_WORD = r"[\p{L}\p{N}_]"
-
-
 def any_script(pattern: str) -> str:
-    """The pattern with digits, blanks and word borders of every script."""
-    p = pattern.replace(r"[-.\s]", r"[-.\s\p{Z}]").replace(r"\s?", r"[\s\p{Z}]?").replace(r"\s\d", r"[\s\p{Z}]\d").replace(r"\d", r"\p{Nd}")
-    return p.replace(r"\b", f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
+    """The pattern with digits and blanks of every script."""
+    return pattern.replace(r"[-.\s]", r"[-.\s\p{Z}]").replace(r"\s?", r"[\s\p{Z}]?").replace(r"\s\d", r"[\s\p{Z}]\d").replace(r"\d", r"\p{Nd}")
 
 
 def types_by_value(text: Column) -> Column:
-    """Sorted array of the types whose patterns occur in a text."""
+    """Sorted array of the types whose patterns occur in a text.
+
+    Numbers that are no digits count as letters of a word and accents as none, so that word borders fall
+    where they do in every script; both are replaced first by characters that no pattern names."""
+    text = F.regexp_replace(F.regexp_replace(text, r"[\p{Nl}\p{No}]", "\u0436"), r"\p{Mn}", "\u00b7")
     found = []
     for t, patterns in VALUE_RULES:
         hit = text.rlike(any_script(patterns[0]))
