@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.functions.paths import folder_of, norm_path
 from metaloom.operators.catalog import document, scans
+from metaloom.operators.sequence import previous
 from metaloom.util import ship
 
 
@@ -131,9 +132,7 @@ def redetect(assets: DataFrame, version: str) -> DataFrame:
 def decide(discovery: DataFrame) -> DataFrame:
     """(id, write, schema_changed): each scan against the one before it of its asset, by arrival."""
     d = scans(discovery).where("asset_id is not null")
-    w = Window.partitionBy("asset_id").orderBy("id")
     h = F.coalesce(F.get_json_object(document("file_metadata"), "$.hash.value"), F.get_json_object(document("file_metadata"), "$.file_hash"))
-    d = d.select("asset_id", "id", h.alias("h"), F.col("schema_hash").alias("s"))
-    d = d.withColumn("p", F.lag(F.struct("h", "s")).over(w))
-    x = change_decision(F.col("p.h"), F.col("h"), F.col("p.s"), F.col("s"), F.col("p").isNotNull())
+    d = previous(d.select("asset_id", "id", h.alias("h"), F.col("schema_hash").alias("s")), ["asset_id"], ["id"], ["h", "s"])
+    x = change_decision(F.col("prev.h"), F.col("h"), F.col("prev.s"), F.col("s"), F.col("prev").isNotNull())
     return d.select("id", x.alias("x")).select("id", "x.write", "x.schema_changed")

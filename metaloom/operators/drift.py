@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.operators.nested import parse, unwrap
-from metaloom.util import arrow_map, cut, loose_id
+from metaloom.util import arrow_map, cut, instant, loose_id
 
 #: Names of one type in Arrow, Spark and databases (fixed values).
 TYPE_NAMES = {
@@ -240,7 +240,7 @@ def _ordered(scans: DataFrame, assets: DataFrame | None) -> DataFrame:
     """One stream of schema documents, each asset's own columns after all of its scans."""
     rows = scans.select(
         loose_id("asset_id").alias("asset_id"), F.lit(True).alias("is_scan"),
-        F.coalesce(F.unix_micros(F.col("discovered_at").cast("timestamp")), F.lit(-(2**63))).alias("at"),
+        F.coalesce(F.unix_micros(instant(scans, "discovered_at")), F.lit(-(2**63))).alias("at"),
         F.col("id").cast("bigint").alias("id"), F.col("schema_json").alias("doc"),
     )
     if assets is not None:

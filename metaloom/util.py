@@ -23,6 +23,14 @@ def loose_id(c: Column | str) -> Column:
     return F.nullif(F.lower(strip(c)), F.lit(""))
 
 
+def instant(df: DataFrame, name: str) -> Column:
+    """A time column as a point in time; times without a zone are UTC whatever the session's zone is."""
+    c = F.col(name)
+    if dict(df.dtypes)[name] == "timestamp_ntz":
+        return F.concat(c.cast("string"), F.lit("Z")).try_cast("timestamp")
+    return c.cast("timestamp")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. It is the session's spark.checkpoint.dir; a folder of its
     own is made only where that is unset and everything runs on one machine, as in tests."""

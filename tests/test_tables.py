@@ -168,3 +168,17 @@ def test_stream_keeps_latest_over_batches(spark, tmp_path):
         feeds.keep_latest(s, "k", ["t", "v"], str(tmp_path / "out"), str(tmp_path / "state"))
         got = spark.read.parquet(str(tmp_path / "out" / f"v{i}")).collect()
     assert sorted(map(tuple, got)) == [("a", 2, "z"), ("b", 5, "y")]
+
+
+def test_previous_rows_of_a_hot_group(spark):
+    from metaloom.operators.sequence import previous
+
+    rows = [("hot" if i % 3 else f"k{i % 4}", (i * 37) % 101, f"v{i}", None if i % 7 == 0 else i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, t int, v string, x int")
+    got = {(r.k, r.t): (None if r.prev is None else tuple(r.prev)) for r in previous(df, ["k"], ["t"], ["v", "x"]).collect()}
+    want, last = {}, {}
+    for k, t, v, x in sorted(rows, key=lambda r: r[:2]):
+        want[k, t] = last.get(k)
+        last[k] = (v, x)
+    assert got == want
+    assert previous(df.where("false"), ["k"], ["t"], ["v"]).count() == 0
