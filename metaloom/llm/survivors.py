@@ -13,10 +13,11 @@ are found by range partitioning on (group, time, id), which spreads a hot group
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.util import BLANKS, cut, loose_id, ship, strip
+from metaloom.operators.sequence import previous
+from metaloom.util import cut, instant, loose_id, strip
 
 #: Words and signs for a value that is not known (fixed values).
 NOT_KNOWN = (
@@ -58,9 +59,11 @@ def _hash(c: Column) -> Column:
 
 
 def _time(c: Column, until: Column) -> Column:
+    """A time from year 2000 up to another one; without a zone it is UTC, without a time of day midnight."""
     v = _text(c)
-    t = F.when(v.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ]|$)"), v.try_cast("timestamp"))
-    return F.when((t >= F.lit("2000-01-01 00:00:00").cast("timestamp")) & (until.isNull() | (t <= until.cast("timestamp"))), v)
+    zoned = F.when(v.rlike(r"^[0-9-]+$"), F.concat(v, F.lit(" 00:00:00Z"))).when(v.rlike(r"([Zz]|UTC|GMT|[+-][0-9]{1,2}(:?[0-9]{2})?)$"), v).otherwise(F.concat(v, F.lit("Z")))
+    t = F.when(v.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ]|$)"), zoned.try_cast("timestamp"))
+    return F.when((t >= F.lit("2000-01-01 00:00:00Z").cast("timestamp")) & (until.isNull() | (t <= until)), v)
 
 
 def _document(c: Column) -> Column:
@@ -78,7 +81,7 @@ def observations(rows: DataFrame) -> DataFrame:
         _document(F.col("file_metadata")),
         "basic string, hash string, timestamps string, file_name string, size string, format string, file_hash string, last_modified string",
     )
-    r = rows.select(loose_id("asset_id").alias("asset_id"), F.col("id").cast("bigint").alias("id"), F.col("discovered_at").alias("at"), top.alias("d")).where("asset_id is not null")
+    r = rows.select(loose_id("asset_id").alias("asset_id"), F.col("id").cast("bigint").alias("id"), instant(rows, "discovered_at").alias("at"), top.alias("d")).where("asset_id is not null")
     r = r.select(
         "asset_id", "id", "at", "d",
         F.from_json("d.basic", "name string, size_bytes string, format string").alias("b"),
@@ -103,34 +106,9 @@ def _long(obs: DataFrame, fields=FIELDS) -> DataFrame:
 def transitions(values: DataFrame) -> DataFrame:
     """(field_name, was, becomes, n): how often a value follows another one along the timed rows of a
     group, over rows of (asset_id, id, at, field_name, value)."""
-    key = ["asset_id", "field_name", "at", "id"]
-    ordered = values.where("at is not null").repartitionByRange(*key).sortWithinPartitions(*key).select(*key, "value")
-    ship(values.sparkSession)
-
-    def run(batches):
-        import pandas as pd
-
-        last, what = None, "head"
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if last is not None:
-                pdf = pd.concat([last, pdf], ignore_index=True)
-            else:
-                yield pdf.iloc[:1].assign(what=what, was=None)
-            prev = pdf.shift(1)
-            same = (prev.asset_id == pdf.asset_id) & (prev.field_name == pdf.field_name) & (prev.value != pdf.value)
-            yield pdf[same].assign(what="row", was=prev.value[same])
-            last = pdf.iloc[-1:]
-        if last is not None:
-            yield last.assign(what="tail", was=None)
-
-    kind = dict(ordered.dtypes)["at"]
-    got = cut(ordered.mapInPandas(run, f"asset_id string, field_name string, at {kind}, id bigint, value string, what string, was string"), "neighbours")
-    w = Window.partitionBy("asset_id", "field_name").orderBy("at", "id", F.when(F.col("what") == "head", 0).otherwise(1))
-    marks = got.where("what <> 'row'").withColumn("p", F.lag(F.struct("what", "value")).over(w))
-    over = marks.where("what = 'head' and p.what = 'tail' and p.value <> value").select("field_name", F.col("p.value").alias("was"), "value")
-    pairs = got.where("what = 'row'").select("field_name", "was", "value").unionByName(over)
+    timed = values.where("at is not null").select("asset_id", "field_name", "at", "id", "value")
+    moved = previous(timed, ["asset_id", "field_name"], ["at", "id"], ["value"]).where("prev is not null and prev.value <> value")
+    pairs = moved.select("field_name", F.col("prev.value").alias("was"), "value")
     return pairs.groupBy("field_name", "was", F.col("value").alias("becomes")).agg(F.count("*").alias("n"))
 
 
