@@ -78,7 +78,7 @@ def g_layout(t):
 _FOLD = f"fo AS (SELECT id, string_split(trim({TM} ->> '$.location', '/'), '/') AS p FROM assets), pf AS (SELECT id, unnest(range(1, len(p))) AS level, p FROM fo WHERE len(p) > 1)"
 
 
-@R.add("graph_G7_folders", f"WITH {_FOLD} SELECT id, array_to_string(p[1:level], '/') AS folder, level FROM pf")
+@R.add("graph_G7_folders", f"WITH {_FOLD} SELECT id, array_to_string(p[1:level], '/') AS folder, CAST(level AS INTEGER) AS level FROM pf")
 def g_folders(t):
     return G.folder_prefixes(t("assets"))
 
@@ -223,7 +223,7 @@ def n_neighbours(t):
     return N.folder_neighbours(t("assets"))
 
 
-@R.add("infer_N15_inputs", f"WITH {_LOC} SELECT connector_id, container, folder, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY connector_id, container, folder ORDER BY id) AS rank FROM lo) WHERE rank <= 5")
+@R.add("infer_N15_inputs", f"WITH {_LOC} SELECT connector_id, container, folder, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY connector_id, container, folder ORDER BY id) AS rank FROM lo) WHERE rank <= 5")
 def n_inputs(t):
     return N.folder_inputs(t("assets"))
 
