@@ -65,15 +65,17 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
         .join(after, "snapshot_no", "left")
     )
     w = Window.partitionBy("asset_id").orderBy("snapshot_no")
+    # only whether path or hash differ matters from here on, so a digest travels instead of both
+    s = s.withColumn("content", F.unhex(F.md5(F.concat_ws("\u0001", "path", "hash"))))
     s = s.select(
-        "snapshot_no", "asset_id", "has_prior", "has_next", "path", "hash",
-        F.lag(F.struct("snapshot_no", "path", "hash")).over(w).alias("was"),
+        "snapshot_no", "asset_id", "has_prior", "has_next", "content",
+        F.lag(F.struct("snapshot_no", "content")).over(w).alias("was"),
         F.lead("snapshot_no").over(w).alias("next_no"),
     )
     follows = F.coalesce(F.col("was.snapshot_no") == F.col("snapshot_no") - 1, F.lit(False))
     here = (
         F.when(F.col("has_prior") & ~follows, "added")
-        .when(follows & ((F.col("was.path") != F.col("path")) | (F.col("was.hash") != F.col("hash"))), "changed")
+        .when(follows & (F.col("was.content") != F.col("content")), "changed")
     )
     gone = F.col("has_next") & ~F.coalesce(F.col("next_no") == F.col("snapshot_no") + 1, F.lit(False))
     return s.select(
