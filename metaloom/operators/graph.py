@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metaloom.operators.sequence import numbered
 from metaloom.util import cut, loose_id
 
 
@@ -66,8 +67,8 @@ def impacted(e: DataFrame, starts: DataFrame) -> DataFrame:
 def layout(e: DataFrame, group: DataFrame | None = None) -> DataFrame:
     """(id, level, x, y): level is the least number of steps from a node that nothing leads to (from all
     nodes, where there is none); what no root reaches is at level 0. x is 300 a level; y counts the nodes
-    of a level in the order of their group, then id, 120 apart, numbered within the level by ranks over
-    bounded blocks and block offsets, so that a wide level is no single task."""
+    of a level in the order of their group, then id, 120 apart; the count runs over range-partitioned
+    rows, so that a wide level is no single task."""
     links = cut(e.select("source", "target").distinct(), "links")
     ids = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
     targets = links.where("source <> target").select(F.col("target").alias("id")).distinct()
@@ -92,14 +93,10 @@ def layout(e: DataFrame, group: DataFrame | None = None) -> DataFrame:
         out = out.join(group, "id", "left")
     else:
         out = out.withColumn("grp", F.lit(""))
-    out = out.select("id", "level", F.coalesce("grp", F.lit("")).alias("grp"), F.left(F.md5("id"), F.lit(2)).alias("block"))
-    # numbers by group: a count per (level, group) gives the offsets, ranks run within the groups
-    sizes = out.groupBy("level", "grp").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("level").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("level", "grp", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    rank = Window.partitionBy("level", "grp").orderBy("id")
-    out = out.withColumn("r", F.row_number().over(rank)).join(sizes, ["level", "grp"])
-    return out.select("id", "level", (F.col("level") * 300).alias("x"), ((F.col("before") + F.col("r") - 1) * 120).cast("bigint").alias("y"))
+    out = numbered(out.select("id", "level", F.coalesce("grp", F.lit("")).alias("grp")), ["level", "grp", "id"])
+    first = out.groupBy("level").agg(F.min("no").alias("first"))
+    out = out.join(first, "level")
+    return out.select("id", "level", (F.col("level") * 300).alias("x"), ((F.col("no") - F.col("first")) * 120).alias("y"))
 
 
 COLUMN_LINEAGE = "array<struct<source_column: string, target_column: string, transformation: string, transformation_type: string, similarity_score: double>>"

@@ -67,7 +67,10 @@ def close_edges(edges: DataFrame, gone: DataFrame, at: Column) -> DataFrame:
 def edit_columns(assets: DataFrame, edits: DataFrame) -> DataFrame:
     """(id, columns): assets' column documents after edits (id, name, pii_detected, pii_types, analytical,
     operational). Not personal clears types and policies, personal without types gets PII, blank
-    policies become null. Edits are gathered per asset, a list that the asset's columns bound."""
+    policies become null. Of several edits of one column one is taken, the greatest. Edits are gathered per
+    asset, a list that the asset's columns bound."""
+    what = ("pii_detected", "pii_types", "analytical", "operational")
+    edits = edits.where("id is not null and name is not null").groupBy("id", "name").agg(F.max(F.struct(*what)).alias("x")).select("id", "name", "x.*")
     e = edits.groupBy(F.col("id").alias("e_id")).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("pii_detected", "pii_types", "analytical", "operational")))).alias("e"))
     c = F.from_json(document("columns"), COLUMN)
     blank = lambda x: F.nullif(F.trim(x), F.lit(""))

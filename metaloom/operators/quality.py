@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.operators.catalog import asset_columns, document
@@ -18,9 +18,14 @@ def inferred_type(values: DataFrame, keys: list[str], value: str, order: str, fi
     """(keys, n, type) of string values: the first of int64, double, bool, date that holds for at least
     `share` of all non-blank values among the first ones in order; else string.
 
-    The first values of a group are taken by a bounded aggregate, not by a window over the group."""
-    v = values.where(F.trim(value) != "").groupBy(*keys).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct(order, F.trim(value).alias("v")))), 1, first).alias("s"))
-    text = F.transform("s", lambda x: x["v"])
+    The first values are found by a rank limit, which Spark applies before the shuffle, so a group's
+    values are never gathered; counts are aggregated apart from them."""
+    v = values.where(F.trim(value) != "").select(*keys, F.col(order).alias("__o"), F.trim(value).alias("__v"))
+    w = Window.partitionBy(*keys).orderBy("__o", "__v")
+    head = v.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= first)
+    head = head.groupBy(*keys).agg(F.collect_list("__v").alias("s"))
+    v = v.groupBy(*keys).agg(F.count("*").alias("n")).join(head, keys)
+    text = F.col("s")
 
     def hits(p: str) -> Column:
         return F.size(F.filter(text, lambda x: x.rlike(p)))

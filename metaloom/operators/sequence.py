@@ -67,3 +67,16 @@ def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str])
     rows = got.where("__what = 'row'").select(*names, F.when(F.col("__has"), prev).alias("prev"))
     heads = marks.select(*names, F.when(F.col("__q.__what") == "tail", F.struct(*(F.col(f"__q.{c}").alias(c) for c in cols))).alias("prev"))
     return rows.unionByName(heads)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "no") -> DataFrame:
+    """df with a number from 0 along a total order over all rows. Rows are range-partitioned and numbered
+    within their task; the tasks' sizes, one row each, give the offsets."""
+    by = [F.col(c) for c in order]
+    m = F.monotonically_increasing_id()  # the task in the upper bits, the place within it in the lower 33
+    rows = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", m), "numbered")
+    rows = rows.withColumn("__task", F.shiftright("__m", 33)).withColumn("__at", F.col("__m").bitwiseAND(F.lit(2**33 - 1)))
+    sizes = rows.groupBy("__task").agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__task", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    return rows.join(offsets, "__task").withColumn(name, F.col("__before") + F.col("__at")).drop("__m", "__task", "__at", "__before")

@@ -182,3 +182,21 @@ def test_previous_rows_of_a_hot_group(spark):
         last[k] = (v, x)
     assert got == want
     assert previous(df.where("false"), ["k"], ["t"], ["v"]).count() == 0
+
+
+def test_numbers_along_an_order(spark):
+    from metaloom.operators.sequence import numbered
+
+    df = spark.createDataFrame([(f"g{(i * 7) % 5}", i) for i in range(60)], "g string, i int")
+    got = [(r.no, r.g, r.i) for r in numbered(df, ["g", "i"]).collect()]
+    assert sorted(got) == [(n, *x) for n, x in enumerate(sorted((f"g{(i * 7) % 5}", i) for i in range(60)))]
+    assert numbered(df.where("false"), ["g"]).count() == 0
+
+
+def test_column_edits(spark):
+    doc = json.dumps([{"name": "a", "pii_detected": True, "pii_types": ["X"], "masking_logic_analytical": "hash"}, {"name": "b", "pii_detected": False}])
+    a = spark.createDataFrame([("1", doc), ("2", doc), ("3", None)], "id string, columns string")
+    e = spark.createDataFrame([("1", "a", False, None, "x", "y"), ("1", "b", True, None, " ", "redact"), ("1", "b", True, None, " ", "redact"), ("9", "a", True, None, None, None), (None, "a", True, None, None, None)], "id string, name string, pii_detected boolean, pii_types array<string>, analytical string, operational string")
+    got = {r.id: r.columns and json.loads(r.columns) for r in K.edit_columns(a, e).collect()}
+    assert got["1"] == [{"name": "a", "pii_detected": False}, {"name": "b", "pii_detected": True, "pii_types": ["PII"], "masking_logic_operational": "redact"}]
+    assert got["2"][0]["masking_logic_analytical"] == "hash" and got["3"] is None
