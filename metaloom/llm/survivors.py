@@ -22,8 +22,8 @@ from metaloom.util import cut, instant, loose_id, strip
 #: Words and signs for a value that is not known (fixed values).
 NOT_KNOWN = (
     "unknown", "not known", "none", "null", "nil", "nan", "n/a", "na", "n.a.", "n/k", "#n/a", "not available", "not applicable", "unavailable",
-    "missing", "undefined", "unspecified", "not specified", "not set", "tbd", "tba", "tbc", "to be determined", "todo", "empty",
-    "-", "--", "---", "?", "??", "???", ".", "..", "...", "_", "*", "<unknown>", "<null>", "(null)", "(none)", "(unknown)", "[null]", "\\n", "x", "xx", "xxx",
+    "missing", "undefined", "unspecified", "not specified", "not set", "tbd", "tba", "tbc", "to be determined",
+    "-", "--", "---", "?", "??", "???", ".", "..", "...", "_", "*", "<unknown>", "<null>", "(null)", "(none)", "(unknown)", "[null]", "\\n",
 )
 #: Digests of empty content: SHAKE-128 (16 and 32 bytes), MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512, CRC-32 (fixed values).
 EMPTY_HASHES = (
