@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from metaloom.functions.paths import folder_of, norm_path
 from metaloom.operators.catalog import document, scans
 from metaloom.operators.sequence import previous
-from metaloom.util import ship
+from metaloom.util import cut, ship
 
 
 def change_decision(old_hash: Column, new_hash: Column, old_schema: Column, new_schema: Column, known: Column, on_file: bool = False) -> Column:
@@ -70,7 +70,7 @@ def schema_duplicates(discovery: DataFrame) -> DataFrame:
     The key is a digest, so no wide text is shuffled. The best of a group is found by aggregation, with
     partial maxima before the shuffle, and joined back: a hot key never lands in one window task."""
     d = discovery.select("id", F.md5(F.nullif(schema_key(F.col("schema_json")), F.lit(""))).alias("schema_group"), modified_time(F.col("file_metadata"), F.col("updated_at"), F.col("discovered_at")).alias("at"))
-    d = d.where("schema_group is not null")
+    d = cut(d.where("schema_group is not null"), "schemas")  # documents are read once, their digests twice
     best = d.groupBy("schema_group").agg(F.min(F.struct((-F.coalesce(F.unix_micros("at"), F.lit(-(2**62)))).alias("at"), F.col("id"))).alias("b"), F.count("*").alias("n")).where("n > 1")
     return d.join(best, "schema_group").select("id", "schema_group", (F.col("id") == F.col("b.id")).alias("keep"))
 

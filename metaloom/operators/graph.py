@@ -31,6 +31,13 @@ def valid(e: DataFrame, at: datetime | Column, valid_from: str = "valid_from", v
     return e.where(keep)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def traverse(e: DataFrame, starts: DataFrame, depth: int | None = 3, upstream: bool = False) -> tuple[DataFrame, DataFrame]:
     """((start, node, depth), (start, edge_id, depth)) from each start (a column named id).
 
@@ -44,19 +51,13 @@ def traverse(e: DataFrame, starts: DataFrame, depth: int | None = 3, upstream: b
         k += 1
         hit = cut(frontier.join(step, "node").select("start", "next", "edge_id"), "hit")
         out.append(hit.select("start", "edge_id", F.lit(k).alias("depth")))
-        new = hit.select("start", F.col("next").alias("node")).distinct()
-        for seen in nodes:
-            new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        seen = _union([n.select("start", "node") for n in nodes])
+        new = hit.select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         frontier = cut(new, "frontier")
         if frontier.isEmpty():
             break
         nodes.append(frontier.withColumn("depth", F.lit(k)))
-    all_nodes, all_edges = nodes[0], out[0]
-    for n in nodes[1:]:
-        all_nodes = all_nodes.unionByName(n)
-    for o in out[1:]:
-        all_edges = all_edges.unionByName(o)
-    return all_nodes, all_edges
+    return _union(nodes), _union(out)
 
 
 def impacted(e: DataFrame, starts: DataFrame) -> DataFrame:
@@ -79,16 +80,11 @@ def layout(e: DataFrame, group: DataFrame | None = None) -> DataFrame:
     while True:
         k += 1
         new = frontier.join(links, frontier.id == links.source).select(F.col("target").alias("id")).distinct()
-        for seen in level:
-            new = new.join(seen.select("id"), "id", "left_anti")
-        frontier = cut(new, "level")
+        frontier = cut(new.join(_union([x.select("id") for x in level]), "id", "left_anti"), "level")
         if frontier.isEmpty():
             break
         level.append(frontier.withColumn("level", F.lit(k)))
-    out = level[0]
-    for x in level[1:]:
-        out = out.unionByName(x)
-    out = ids.join(out, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
+    out = ids.join(_union(level), "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
     if group is not None:
         out = out.join(group, "id", "left")
     else:

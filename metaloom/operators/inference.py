@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions.paths import folder_of
 from metaloom.operators.catalog import asset_columns, document
-from metaloom.util import arrow_map, loose_id
+from metaloom.util import arrow_map, cut, loose_id
 
 #: Parts of a column name that say nothing about what it holds (fixed values).
 PREFIXES = ("tbl_", "dim_", "fact_", "stg_", "raw_", "src_")
@@ -232,7 +232,7 @@ def folder_neighbours(assets: DataFrame) -> DataFrame:
     in the parent folder, anywhere below, or in another folder of the same parent at the same depth. Folders are
     counted once and counts joined on, so no pairs of assets arise."""
     a = located(assets)
-    f = a.groupBy("connector_id", "container", "folder", "depth").agg(F.count("*").alias("n"))
+    f = cut(a.groupBy("connector_id", "container", "folder", "depth").agg(F.count("*").alias("n")), "folders")  # read four times below
     f = f.withColumn("up", F.when(F.col("depth") > 0, folder_of(F.col("folder"))))
     key = ["connector_id", "container"]
     parent = f.select(*key, F.col("folder").alias("up"), F.col("n").alias("n_parent"))
