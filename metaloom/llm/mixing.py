@@ -198,3 +198,30 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, seed: int
     report = base.join(used, ["mix_name", "source"], "left").join(most, ["mix_name", "source"], "left").fillna(0, ["actual_tokens", "most_repeats"])
     report = report.withColumn("actual_share", F.coalesce(F.round(F.try_divide(F.col("actual_tokens"), F.sum("actual_tokens").over(w)), 6), F.lit(0.0)))
     return pieces, report
+
+
+def render(pieces: DataFrame, docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """(mix_name, shard_no, slot_no, source, token_ids array<int>): the tokens of every slot of a mix.
+
+    Pieces are gathered per document, a list that the document's length and repeats bound; each text is
+    tokenised once, and pieces go to their slots, which a block's size bounds."""
+    where = F.struct("mix_name", "shard_no", "slot_no", "source", "token_at", "token_from", "token_to")
+    p = pieces.groupBy("doc_id").agg(F.collect_list(where).alias("p"))
+    d = p.join(docs.select("doc_id", "text"), "doc_id").select("text", "p")
+    names = ["mix_name", "shard_no", "slot_no", "source", "token_at", "ids"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32())]
+
+    def run(batches):
+        from metaloom.llm.tokens import encoding
+
+        enc = encoding(ranks).encode_ordinary
+        for b in batches:
+            for text, parts in zip(*(b.column(i) for i in range(2))):
+                ids, rows = enc(text.as_py() or ""), parts.as_py()
+                cols = [[r[n] for r in rows] for n in names[:-1]]
+                cols.append([ids[r["token_from"] : r["token_to"]] for r in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    out = arrow_map(d, run, "mix_name string, shard_no int, slot_no bigint, source string, token_at int, ids array<int>")
+    g = out.groupBy("mix_name", "shard_no", "slot_no", "source").agg(F.array_sort(F.collect_list(F.struct("token_at", "ids"))).alias("x"))
+    return g.select("mix_name", "shard_no", "slot_no", "source", F.flatten(F.transform("x", lambda y: y["ids"])).alias("token_ids"))

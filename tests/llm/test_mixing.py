@@ -59,6 +59,13 @@ def test_mix(spark):
     for shard in {(m, k) for m, k, _ in slots}:
         assert sorted(n for m, k, n in slots if (m, k) == shard) == list(range(sum((m, k) == shard for m, k, _ in slots)))
     assert sum(len(enc.encode_ordinary(t)) for s, t in dict((t, (s, t)) for s, t in rows if s == "Big-Source ").values()) == r["m", "big_source"].available_tokens
+    blocks = M.render(pieces, docs(spark, rows)).collect()
+    assert len(blocks) == len(slots) and all(len(b.token_ids) <= 32 for b in blocks)
+    short = [b for b in blocks if len(b.token_ids) < 32]
+    assert len({(b.mix_name, b.source) for b in blocks if len(b.token_ids) < 32}) <= 3 and len(short) <= 6
+    assert Counter(b.mix_name for b in blocks for _ in b.token_ids) == Counter({m: sum(x.actual_tokens for x in r.values() if x.mix_name == m) for m in ("m", "n")})
+    word = enc.encode_ordinary(" word")[0]
+    assert sum(b.token_ids.count(word) for b in blocks if b.mix_name == "n") == 2 * enc.encode_ordinary("word " * 5000).count(word)
     again = M.mix(docs(spark, rows), t, block_tokens=32)[0].collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, p))
 
