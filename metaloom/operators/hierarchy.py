@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.util import arrow_map, cut, loose_id
+from metaloom.util import arrow_map, cut, cut_counted, cut_split, loose_id
 
 OUT = "asset_id string, node_status string, root_id string, depth int, n_descendants bigint, path_md5 string, path string"
 
@@ -40,28 +40,24 @@ def components(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     component the smallest id on its cycle."""
     # nxt: the ancestor 2^k steps up, null when the root is known; low: the least id on the way
     open_ = F.col("root").isNull()
-    state = cut(
-        nodes.select("id", "parent", F.col("parent").alias("nxt"), F.col("id").alias("low"), F.when(F.col("parent").isNull(), F.col("id")).alias("root")),
-        "jump",
+    left, d, n, finished = cut_split(
+        nodes.select("id", "parent", F.col("parent").alias("nxt"), F.col("id").alias("low"), F.when(F.col("parent").isNull(), F.col("id")).alias("root")), "jump", open_
     )
-    done, left, k, before = [state.where(~open_)], state.where(open_), 0, -1
-    while True:
-        n = left.count()
-        if n == 0 or (n == before and 2**k >= n):
-            break
+    done, k, before = [d], 0, -1
+    while n and not (n == before and 2**k >= n):
         before, k = n, k + 1
         known = left
         for d in done:
             known = known.unionByName(d)
         u = known.select(F.col("id").alias("nxt"), F.col("nxt").alias("u_nxt"), F.col("low").alias("u_low"), F.col("root").alias("u_root"))
-        step = cut(
-            left.join(u, "nxt").select(
-                "id", "parent", F.when(F.col("u_root").isNull(), F.col("u_nxt")).alias("nxt"),
-                F.least("low", "u_low").alias("low"), F.col("u_root").alias("root"),
-            ),
-            "jump",
+        step = left.join(u, "nxt").select(
+            "id", "parent", F.when(F.col("u_root").isNull(), F.col("u_nxt")).alias("nxt"), F.least("low", "u_low").alias("low"), F.col("u_root").alias("root")
         )
-        done, left = [*done, step.where(~open_)], step.where(open_)
+        if 4 * n < finished:  # few are left: they come broadcast, and go into few files
+            step = step.hint("rebalance")
+        left, d, n, m = cut_split(step, "jump", open_)
+        done.append(d)
+        finished += m
     out = None
     for d in done:
         d = d.select("id", "parent", F.col("root").alias("comp"), F.lit(False).alias("cyclic"))
@@ -204,8 +200,8 @@ def hierarchy(links: DataFrame, parent: Column | str, child: Column | str, max_c
     is empty. Null and blank ends make a link void; an empty table gives no rows."""
     found, rings = components(nodes_of(links, parent, child))
     found = cut(found, "components")
-    big = cut(found.groupBy("comp").count().where(F.col("count") > max_component).select("comp"), "large")
-    if big.isEmpty():
+    big, m = cut_counted(found.groupBy("comp").count().where(F.col("count") > max_component).select("comp"), "large", n=F.lit(True))
+    if not m["n"]:
         return _small(found, with_path)
     rest = found.join(big, "comp", "left_anti")
     return _small(rest, with_path).unionByName(_large(found.join(big, "comp", "left_semi"), rings, with_path))
