@@ -1,7 +1,8 @@
 """Parent-child links into full hierarchies.
 
 1. Connected components. Every node has at most one parent, so pointer doubling finds the root of
-   every node in log2(depth) joins. What never finishes is caught in a cycle or hangs below one; the
+   every node in log2(depth) joins; nodes still open and nodes done are kept apart, so later rounds
+   join few nodes. What never finishes is caught in a cycle or hangs below one; the
    ends of its jumps are then exactly the nodes of the cycles.
 2. The nodes of a component are co-located, components in order within a task, and each is
    walked depth-first without recursion, with node colours: a link to a grey node is the back edge of
@@ -10,8 +11,8 @@
    doubling the path suffixes and its descendants are counted by exploding the paths, with partial
    aggregation before the shuffle. Both ways give the same rows.
 
-Links lost to a hot parent are avoided by aggregating the links to one row per node before anything
-is joined; joins on a hot parent are split by the adaptive skew join.
+A hot parent gathers nowhere: links are aggregated to one row per node before anything is joined,
+and joins on the parent are split by the adaptive skew join.
 """
 
 from __future__ import annotations

@@ -106,12 +106,14 @@ def k_append(t):
 
 @R.add(
     "sink_K2_insert_ignore",
-    """WITH n AS (SELECT source_asset_id, target_asset_id, source_job_id, min(id) AS id FROM lineage_relationships WHERE id % 2 = 0 GROUP BY 1, 2, 3)
-    SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM lineage_relationships e WHERE e.id % 2 = 1 AND e.source_asset_id IS NOT DISTINCT FROM n.source_asset_id AND e.target_asset_id IS NOT DISTINCT FROM n.target_asset_id AND e.source_job_id IS NOT DISTINCT FROM n.source_job_id)""",
+    """WITH n AS (SELECT source_asset_id, target_asset_id, source_job_id, min(id) AS id FROM lineage_relationships WHERE created_at >= TIMESTAMP '2025-04-01' GROUP BY 1, 2, 3)
+    SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM lineage_relationships e WHERE e.created_at < TIMESTAMP '2025-04-01' AND e.source_asset_id IS NOT DISTINCT FROM n.source_asset_id AND e.target_asset_id IS NOT DISTINCT FROM n.target_asset_id AND e.source_job_id IS NOT DISTINCT FROM n.source_job_id)""",
 )
 def k_ignore(t):
-    e = t("lineage_relationships").select("source_asset_id", "target_asset_id", "source_job_id", "id")
-    return K.insert_ignore(e.where("id % 2 = 0"), e.where("id % 2 = 1"), ["source_asset_id", "target_asset_id", "source_job_id"], "id")
+    """Edges since April into those from before."""
+    e, now = t("lineage_relationships"), F.lit(datetime(2025, 4, 1))
+    cols = ["source_asset_id", "target_asset_id", "source_job_id"]
+    return K.insert_ignore(e.where(F.col("created_at") >= now).select(*cols, "id"), e.where(F.col("created_at") < now).select(*cols), cols, "id")
 
 
 @R.add(
@@ -124,11 +126,11 @@ def k_upsert(t):
     return K.upsert(t("assets").select(loose_id("id").alias("id"), "name", "type", "catalog"), n, "id")
 
 
-_PAY = """p AS (SELECT 'job-' || o_custkey AS ingestion_id, 'urn:process:' || o_custkey AS process_urn, list(DISTINCT 'urn:dataset:in:' || o_orderpriority) AS i, list(DISTINCT 'urn:dataset:out:' || o_orderstatus) AS o FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey)"""
+_PAY = """p AS (SELECT 'job-' || o_custkey AS ingestion_id, 'urn:process:' || o_custkey AS process_urn, list(DISTINCT 'urn:dataset:in:' || o_orderpriority) AS i, list(DISTINCT 'urn:dataset:out:' || o_orderstatus) AS o FROM orders GROUP BY o_custkey)"""
 
 
 def _payloads(t):
-    o = t("orders").where("o_custkey % 3 <> 0").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("urn:dataset:in:"), "o_orderpriority"))).alias("inputs"), F.array_sort(F.collect_set(F.concat(F.lit("urn:dataset:out:"), "o_orderstatus"))).alias("outputs"))
+    o = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("urn:dataset:in:"), "o_orderpriority"))).alias("inputs"), F.array_sort(F.collect_set(F.concat(F.lit("urn:dataset:out:"), "o_orderstatus"))).alias("outputs"))
     k = F.col("o_custkey").cast("string")
     return o.select(F.concat(F.lit("job-"), k).alias("ingestion_id"), F.concat(F.lit("urn:process:"), k).alias("process_urn"), "inputs", "outputs", F.lit("2025-01-01").alias("valid_from"))
 
