@@ -200,3 +200,17 @@ def test_column_edits(spark):
     got = {r.id: r.columns and json.loads(r.columns) for r in K.edit_columns(a, e).collect()}
     assert got["1"] == [{"name": "a", "pii_detected": False}, {"name": "b", "pii_detected": True, "pii_types": ["PII"], "masking_logic_operational": "redact"}]
     assert got["2"][0]["masking_logic_analytical"] == "hash" and got["3"] is None
+
+
+def test_dictionary_scan_over_jdbc(spark):
+    """The scan's query runs in the database: here the embedded one that comes with Spark."""
+    url, driver = "jdbc:derby:memory:dictionary;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no embedded database here")
+    t = spark.createDataFrame([("HR", "EMP", 3, None), ("SYS", "OBJ$", 1, None), ("HR", "DEPT", None, None)], "OWNER string, TABLE_NAME string, NUM_ROWS int, LAST_ANALYZED timestamp")
+    t.write.format("jdbc").options(url=url, dbtable="ALL_TABLES", driver=driver, createTableColumnTypes="OWNER VARCHAR(128), TABLE_NAME VARCHAR(128)").mode("overwrite").save()
+    got = dictionary.scan(spark, url, "tables", driver=driver)
+    assert sorted((r.OWNER, r.TABLE_NAME) for r in got.collect()) == [("HR", "DEPT"), ("HR", "EMP")]
+    assert [r.owner for r in dictionary.schemas(got).collect()] == ["HR"]
