@@ -19,6 +19,15 @@ from metaloom.util import arrow_map
 #: Keys whose value is an array of objects; a lone object stands for an array of one (fixed values).
 REPEATED = ("columns", "fields", "row_groups", "rowGroups", "chunks", "partitions", "files", "replicas", "endpoints", "parts")
 
+#: Shapes with a table of their own: the keys their arrays stand under (fixed values).
+SHAPES = {
+    "documents": ("",), "columns": ("columns", "fields"), "replicas": ("replicas",), "endpoints": ("endpoints",), "partitions": ("partitions",),
+    "files": ("files",), "row_groups": ("row_groups", "rowGroups"), "chunks": ("chunks",), "parts": ("parts",),
+}
+
+#: Key columns of every shape's table.
+TAKEN = {"record_key", "field_name", "group_path", "node_path", "parent_path", "ordinal", "rest"}
+
 NODES = (
     "record_key string, field_name string, group_path string, node_path string, parent_path string, ordinal int, "
     "triples array<struct<path: string, ordinal: int, value: string>>"
@@ -141,24 +150,58 @@ def shred_table(df: DataFrame, key: Column | str, docs: dict[str, Column | str],
     return arrow_map(src, run, NODES)
 
 
+def _value(path: str) -> Column:
+    found = F.filter("triples", lambda t: t.path == F.lit(path))
+    if path.endswith("[]"):
+        return F.transform(F.array_sort(F.transform(found, lambda t: F.struct(t.ordinal, t.value))), lambda t: t.value)
+    return F.get(F.transform(found, lambda t: t.value), F.lit(0))
+
+
 def flat_table(nodes: DataFrame, field: str, group: str, columns: dict[str, str]) -> DataFrame:
     """Pivot one group of `shred_table` into a table of record_key, node_path, parent_path, ordinal and
     one column for each entry of columns: name -> path within the row. A path ending in [] becomes an
     array in its order, any other a string. A clash with the key columns is settled by a trailing _."""
 
-    def value(path: str) -> Column:
-        found = F.filter("triples", lambda t: t.path == F.lit(path))
-        if path.endswith("[]"):
-            return F.transform(F.array_sort(F.transform(found, lambda t: F.struct(t.ordinal, t.value))), lambda t: t.value)
-        return F.get(F.transform(found, lambda t: t.value), F.lit(0))
-
     taken = {"record_key", "node_path", "parent_path", "ordinal"}
     return nodes.where((F.col("field_name") == field) & (F.col("group_path") == group)).select(
         "record_key", "node_path", "parent_path", "ordinal",
-        *(value(p).alias(n + "_" if n in taken else n) for n, p in columns.items()),
+        *(_value(p).alias(n + "_" if n in taken else n) for n, p in columns.items()),
     )
 
 
+def shape_table(nodes: DataFrame, keys: tuple[str, ...] | None, columns: dict[str, str]) -> DataFrame:
+    """Pivot all groups of one shape, at any depth and in any document, into a table of record_key,
+    field_name, group_path, node_path, parent_path, ordinal, one column for each entry of columns as in
+    `flat_table`, and rest: every other value that is not null, as path -> values. A shape is the last
+    keys of the array (`group_key`); keys=None takes the groups of no shape in SHAPES. The row around an
+    object is that of (record_key, field_name, parent_path), in another of these tables."""
+    key = group_key(F.col("field_name"), F.col("group_path"))
+    known = [k for s in SHAPES.values() for k in s]
+    mine = key.isin(*keys) if keys is not None else ~key.isin(*known)
+    once = [p for p in columns.values() if not p.endswith("[]")]
+    many = [p for p in columns.values() if p.endswith("[]")]
+    filled = F.filter("triples", lambda t: t.value.isNotNull() & ~t.path.isin(*many))
+
+    def values(p: Column) -> Column:
+        v = F.transform(F.array_sort(F.transform(F.filter(filled, lambda t: t.path == p), lambda t: F.struct(t.ordinal, t.value))), lambda t: t.value)
+        return F.struct(p.alias("key"), v.alias("value"))
+
+    # a path that two spellings of keys lead to has several values: they are all in rest
+    entries = F.transform(F.array_distinct(F.transform(filled, lambda t: t.path)), values)
+    rest = F.map_from_entries(F.filter(entries, lambda e: ~e.key.isin(*once) | (F.size(e.value) > 1)))
+    return nodes.where(mine).select(
+        "record_key", "field_name", "group_path", "node_path", "parent_path", "ordinal",
+        *(_value(p).alias(n + "_" if n in TAKEN else n) for n, p in columns.items()), rest.alias("rest"),
+    )
+
+
+def group_key(field: Column, group: Column) -> Column:
+    """The shape of a group: the key its arrays stand under, the field where the document itself is the
+    array, empty for the document."""
+    bare = F.regexp_replace(group, r"(\[\])+$", "")
+    return F.when(group == "", "").when(bare == "", field).otherwise(F.regexp_extract(bare, r"([^.\]]*)$", 1))
+
+
 def group_columns(nodes: DataFrame) -> DataFrame:
     """The relational schema that the documents imply: (field_name, group_path, path, n_values,
     n_rows), to choose the columns of `flat_table` from."""

@@ -111,21 +111,46 @@ def p5_found(t):
     return nested.found(t("assets"), t("data_discovery"))
 
 
-@R.add("p5_columns")
-def p5_columns(t):
-    n = nested.shred_table(t("assets"), "id", {"columns": "columns"})
-    return nested.flat_table(n, "columns", "[]", {"name": "name", "type": "type", "nullable": "nullable", "description": "description", "base_type": "type_info.base_type", "pii_types": "pii_types[]"})
+def _nodes(t):
+    """The rows of all four document columns."""
+    a = nested.shred_table(t("assets"), "id", {"technical_metadata": "technical_metadata", "columns": "columns"})
+    d = nested.shred_table(t("data_discovery"), "id", {"storage_location": "storage_location", "file_metadata": "file_metadata"})
+    return a.unionByName(d)
+
+
+def _same(*paths: str) -> dict[str, str]:
+    """A column for each path, named as the path with _ for what cannot be in a name."""
+    return {p.removesuffix("[]").replace(".", "_"): p for p in paths}
+
+
+_COLUMN = {"name": "name", "type": "type", "nullable": "nullable", "description": "description", "base_type": "type_info.base_type", "pii_types": "pii_types[]"} | _same(
+    "pii_detected", "masking_logic_analytical", "type_info.is_nested", "type_info.is_nullable", "type_info.nested_type",
+    "type_info.element.type", "type_info.element_type", "type_info.key_type", "type_info.value_type",
+)
+_DOCUMENT = _same(
+    "type", "identifier", "path", "schema", "key", "object_name", "object_type", "bucket.name", "container", "container.name", "container.type", "connection.account_name", "connection.method",
+    "asset_id", "asset_type", "location", "format", "size", "size_bytes", "last_modified", "file_name", "file_hash", "access_tier", "hash.algorithm", "hash.value",
+    "basic.name", "basic.format", "basic.size_bytes", "basic.content_type", "timestamps.created", "timestamps.last_modified", "azure_metadata.owner_team", "azure_metadata.tags[]",
+    "format_specific.csv.delimiter", "format_specific.csv.encoding", "format_specific.csv.has_header", "format_specific.parquet.compression",
+)
 
+#: The named columns of each shape's table; what is delivered besides is in its column rest.
+_FLAT = {
+    "documents": _DOCUMENT, "columns": _COLUMN, "replicas": _same("zone", "tier"), "endpoints": _same("kind", "secure"), "partitions": _same("key", "value"), "files": _same("path", "size_bytes"),
+    "row_groups": _same("index", "num_rows"), "chunks": _same("column", "compressed_bytes", "stats.min", "stats.max", "stats.null_count"), "parts": _same("part_no", "etag", "size_bytes"), "others": {},
+}
 
-@R.add("p5_replicas")
-def p5_replicas(t):
-    n = nested.shred_table(t("data_discovery"), "id", {"storage_location": "storage_location"})
-    a, b = (nested.flat_table(n, "storage_location", f"{k}.replicas[]", {"zone": "zone", "tier": "tier"}) for k in ("bucket", "container"))
-    return a.unionByName(b)
+
+def _flat(shape: str):
+    @R.add(f"p5_{shape}")
+    def run(t):
+        return nested.shape_table(_nodes(t), nested.SHAPES.get(shape), _FLAT[shape])
+
+
+for _shape in _FLAT:
+    _flat(_shape)
 
 
 @R.add("p5_schema")
 def p5_schema(t):
-    a = nested.shred_table(t("assets"), "id", {"technical_metadata": "technical_metadata", "columns": "columns"})
-    d = nested.shred_table(t("data_discovery"), "id", {"storage_location": "storage_location", "file_metadata": "file_metadata"})
-    return nested.group_columns(a.unionByName(d))
+    return nested.group_columns(_nodes(t))

@@ -95,3 +95,41 @@ def test_flat_tables_keep_links_and_values(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, columns string, technical_metadata string")
     assert nested.shred_table(df, "id", {"columns": "columns"}).count() == 0
+
+
+def test_tables_hold_every_object_and_value(spark, sf):
+    """The tables of all shapes together: each row of the documents once, each value once."""
+    from collections import Counter
+
+    import __spark_entry__ as entry
+    from metaloom.plans import training
+
+    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    want_rows, want_values = Counter(), Counter()
+    for r in training._nodes(t).collect():
+        want_rows[r.record_key, r.field_name, r.node_path, r.parent_path] += 1
+        for x in r.triples:
+            if x.value is not None:
+                want_values[r.record_key, r.field_name, r.node_path, x.path, x.value] += 1
+    rows, values = Counter(), Counter()
+    for shape, columns in training._FLAT.items():
+        for r in entry.queries()[f"p5_{shape}"](spark, sf).collect():
+            rows[r.record_key, r.field_name, r.node_path, r.parent_path] += 1
+            for p, v in r.rest.items():
+                for x in v:
+                    values[r.record_key, r.field_name, r.node_path, p, x] += 1
+            for n, p in columns.items():
+                v = r[n + "_" if n in nested.TAKEN else n]
+                for x in v if isinstance(v, list) else [v] * (v is not None and p not in r.rest):
+                    values[r.record_key, r.field_name, r.node_path, p, x] += x is not None
+    assert rows == want_rows and values == want_values
+
+
+def test_unknown_keys_and_shapes_stay(spark):
+    d = '[{"name": "a", "odd": 1, "x.y": "p", "x": {"y": "q"}, "type_info": {"fields": [{"name": "b", "tags": ["s", null, "t"]}]}, "strange": [{"k": 5}]}]'
+    n = nested.shred_table(spark.createDataFrame([(1, d)], "id int, d string"), "id", {"columns": "d"})
+    t = sorted(nested.shape_table(n, ("columns", "fields"), {"name": "name", "xy": "x.y"}).collect(), key=lambda r: r.node_path)
+    assert [(r.node_path, r.parent_path, r.name) for r in t] == [("[0]", "", "a"), ("[0].type_info.fields[0]", "[0]", "b")]
+    assert t[0].rest["odd"] == ["1"] and sorted(t[0].rest["x.y"]) == ["p", "q"] and t[1].rest == {"tags[]": ["s", "t"]}
+    o = nested.shape_table(n, None, {}).collect()
+    assert [(r.node_path, r.parent_path, r.rest) for r in o] == [("[0].strange[0]", "[0]", {"k": ["5"]})]
