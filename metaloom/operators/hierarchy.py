@@ -212,10 +212,35 @@ def folder_links(lineage: DataFrame) -> DataFrame:
     return lineage.where(F.col("relationship_type") == "folder_hierarchy")
 
 
-def descendants(links: DataFrame, parent: str, child: str) -> DataFrame:
-    """(asset_id, descendant_id, steps), every pair of a node of a tree and a node below it; the rows
-    are read off the paths, so their number is the sum of all depths."""
-    p = hierarchy(links, parent, child).where("node_status = 'tree' and depth > 0").select("asset_id", "depth", F.split("path", ">").alias("up"))
+def _below(paths: DataFrame) -> DataFrame:
+    """(asset_id, descendant_id, steps), read off the paths of trees."""
+    p = paths.where("depth > 0").select("asset_id", "depth", F.split("path", ">").alias("up"))
     return p.select(F.posexplode(F.slice("up", 1, F.col("depth"))).alias("i", "ancestor"), "asset_id", "depth").select(
         F.col("ancestor").alias("asset_id"), F.col("asset_id").alias("descendant_id"), (F.col("depth") - F.col("i")).alias("steps")
     )
+
+
+def descendants(links: DataFrame, parent: str, child: str, max_component: int = 250_000, trees_only: bool = False) -> DataFrame:
+    """(asset_id, descendant_id, steps), every pair of a node and another one reachable downwards, as many
+    for each node as its n_descendants; steps are the fewest. The rows are read off the paths, so their
+    number is the sum of all depths, and in a component with a cycle every member under every node of the
+    cycle. trees_only leaves the latter components out.
+
+    A cycle is opened above its smallest id. That leaves a tree whose pairs are read off as elsewhere; the
+    pairs missing then are those of cycle nodes and what is reached only over the opened link."""
+    h = hierarchy(links, parent, child, max_component)
+    trees = _below(h.where("node_status = 'tree'"))
+    if trees_only:
+        return trees
+    cyclic, m = cut_counted(h.where("node_status <> 'tree'").select(F.col("asset_id").alias("id"), "node_status", "root_id", F.col("depth").alias("under")), "cyclic", n=F.lit(True))
+    if not m["n"]:
+        return trees
+    opened = nodes_of(links, parent, child).join(cyclic, "id").where("id <> root_id").select("parent", "id")
+    paths = cut(hierarchy(opened, "parent", "id", max_component).select("asset_id", "depth", "path"), "opened")
+    at = paths.select(F.col("asset_id").alias("id"), "depth").join(cyclic, "id")
+    # place: from the smallest id along the cycle; a member's own is that of the cycle node above it
+    ring = at.where("node_status = 'cycle'").select("root_id", F.col("id").alias("asset_id"), F.col("depth").alias("place"))
+    ring = ring.join(ring.groupBy("root_id").agg(F.count("*").cast("int").alias("n")), "root_id")
+    around = at.select("root_id", F.col("id").alias("descendant_id"), "depth", (F.col("depth") - F.col("under")).alias("own"))
+    around = around.join(ring, "root_id").where("place > own").select("asset_id", "descendant_id", (F.col("n") - F.col("place") + F.col("depth")).alias("steps"))
+    return trees.unionByName(_below(paths)).unionByName(around)

@@ -88,6 +88,18 @@ def p3_found(t):
     FROM up JOIN w a ON a.id = up.anc JOIN w b ON b.id = up.id WHERE a.st = 'tree'""",
 )
 def p3_descendants(t):
+    return hierarchy.descendants(hierarchy.folder_links(t("lineage_relationships")), "source_asset_id", "target_asset_id", trees_only=True)
+
+
+@R.add(
+    "p3_descendants_all",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT {sql_id('source_asset_id')} AS p, {sql_id('target_asset_id')} AS c FROM lineage_relationships WHERE relationship_type = 'folder_hierarchy'),
+    l AS (SELECT min(p) AS p, c FROM e WHERE p IS NOT NULL AND c IS NOT NULL GROUP BY c),
+    s AS (SELECT c AS id, p AS anc, 1 AS steps, [c, p] AS seen FROM l WHERE c <> p
+          UNION ALL SELECT s.id, l.p, s.steps + 1, list_append(s.seen, l.p) FROM s JOIN l ON l.c = s.anc WHERE NOT list_contains(s.seen, l.p))
+    SELECT anc AS asset_id, id AS descendant_id, CAST(steps AS INTEGER) AS steps FROM s""",
+)
+def p3_descendants_all(t):
     return hierarchy.descendants(hierarchy.folder_links(t("lineage_relationships")), "source_asset_id", "target_asset_id")
 
 

@@ -71,3 +71,31 @@ def test_random_forests_with_rings(spark, seed):
 def test_descendants(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d")], "p string, c string")
     assert sorted(map(tuple, descendants(df, "p", "c").collect())) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)]
+
+
+def brute_pairs(links):
+    parent = {}
+    for p, c in links:
+        p, c = (x.strip().lower() if x and x.strip() else None for x in (p, c))
+        if p and c:
+            parent[c] = min(p, parent.get(c, p))
+    out = []
+    for n in parent:
+        at, seen = parent[n], [n]
+        while at not in seen:
+            out.append((at, n, len(seen)))
+            seen.append(at)
+            if at not in parent:
+                break
+            at = parent[at]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("name", ["self", "ring", "long ring"])
+@pytest.mark.parametrize("most", [250_000, 1])
+def test_descendants_in_cyclic_components(spark, name, most):
+    df = spark.createDataFrame(CASES[name], "p string, c string")
+    got = sorted(map(tuple, descendants(df, "p", "c", max_component=most).collect()))
+    assert got == brute_pairs(CASES[name])
+    counts = {r.asset_id: r.n_descendants for r in hierarchy(df, "p", "c").collect()}
+    assert {n: sum(a == n for a, *_ in got) for n in counts} == counts
