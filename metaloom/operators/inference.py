@@ -134,6 +134,28 @@ def shared_columns(candidates: DataFrame, assets: DataFrame, least: int = 2) ->
     return g.withColumn("confidence", F.round(F.least(F.lit(0.85), 0.7 + 0.05 * (F.col("n_shared") - least)), 2))
 
 
+def column_classes(assets: DataFrame) -> DataFrame:
+    """(key, class_id, pairs): assets by their set of (name, type) without case; class_id is the smallest
+    key with the set. Columns without a type share nothing and are left out."""
+    c = asset_columns(assets).select(loose_id("asset_id").alias("key"), F.struct(F.lower("name").alias("name"), F.lower("type").alias("type")).alias("x"))
+    a = c.where("key is not null and x.type is not null").groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("pairs"))
+    return a.join(a.groupBy("pairs").agg(F.min("key").alias("class_id")), "pairs").select("key", "class_id", "pairs")
+
+
+def shared_classes(assets: DataFrame, least: int = 2) -> DataFrame:
+    """(class_a, class_b, n_shared, confidence), class_a <= class_b: all classes of `column_classes` that share
+    at least so many columns, found by an index over (name, type). Every member of the one is related to
+    every member of the other, both ways; class_a = class_b where a class has several members."""
+    c = cut(column_classes(assets), "classes")
+    g = c.groupBy("class_id").agg(F.count("*").alias("n"), F.first("pairs").alias("pairs"))
+    i = cut(g.select("class_id", F.explode("pairs").alias("x")).select("class_id", "x.name", "x.type"), "index")
+    j = i.withColumnRenamed("class_id", "class_a").join(i.withColumnRenamed("class_id", "class_b"), ["name", "type"]).where("class_a < class_b")
+    across = j.groupBy("class_a", "class_b").agg(F.count("*").alias("n_shared"))
+    inside = g.where("n > 1").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), F.size("pairs").cast("bigint").alias("n_shared"))
+    out = across.unionByName(inside).where(F.col("n_shared") >= least)
+    return out.withColumn("confidence", F.round(F.least(F.lit(0.85), 0.7 + 0.05 * (F.col("n_shared") - least)), 2))
+
+
 def located(assets: DataFrame) -> DataFrame:
     """(id, container, folder, file, depth): assets with a location."""
     t = document("technical_metadata")

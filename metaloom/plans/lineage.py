@@ -147,6 +147,16 @@ def n_shared(t):
     return N.shared_columns(_pairs(t), t("assets"))
 
 
+@R.add("infer_N11_J10_classes")
+def n_classes(t):
+    return N.column_classes(t("assets")).select(F.col("key").alias("asset_id"), "class_id")
+
+
+@R.add("infer_N11_J10_all")
+def n_shared_all(t):
+    return N.shared_classes(t("assets"))
+
+
 _LOC = f"""lo0 AS (SELECT id, connector_id, coalesce({TM} ->> '$.container', {TM} ->> '$.bucket', catalog) AS container, trim({TM} ->> '$.location', '/') AS path FROM assets),
 lo AS (SELECT id, connector_id, container, regexp_replace(path, '/?[^/]*$', '') AS folder, CASE WHEN contains(path, '/') THEN len(string_split(regexp_replace(path, '/?[^/]*$', ''), '/')) ELSE 0 END AS depth FROM lo0 WHERE path <> '')"""
 

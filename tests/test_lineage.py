@@ -83,6 +83,15 @@ def test_folders_and_names(spark):
     assert N.folder_edges(a.where("false")).count() == 0
 
 
+def test_shared_columns_of_assets_without_an_edge(spark):
+    doc = lambda *c: "[" + ",".join(f'{{"name": "{n}", "type": "{t}"}}' for n, t in c) + "]"
+    x, y, z = ("X", "int"), ("y", "INT"), ("z", "date")
+    cols = {"a": doc(x, y), "b": doc(y, x), "c": doc(x, y, z), "d": doc(z), "e": doc(("x", "text"), y, z), "f": None}
+    df = assets(spark, [(i, i, "k", None, "table", None, c) for i, c in cols.items()])
+    assert {r.key: r.class_id for r in N.column_classes(df).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+    assert sorted(map(tuple, N.shared_classes(df).collect())) == [("a", "a", 2, 0.7), ("a", "c", 2, 0.7), ("c", "e", 2, 0.7)]
+
+
 BANK = {
     "CREATE VIEW customer_account_summary AS SELECT c.customer_id, c.first_name || ' ' || c.last_name AS customer_name, COUNT(a.account_id) AS total_accounts, SUM(a.balance) AS total FROM customers c LEFT JOIN accounts a ON c.customer_id = a.customer_id GROUP BY c.customer_id": ("CREATE_VIEW", "customer_account_summary", ["customers", "accounts"]),
     "CREATE OR REPLACE VIEW transaction_summary AS SELECT a.account_id, SUM(CASE WHEN t.amount > 0 THEN t.amount ELSE 0 END) AS deposits FROM accounts a, transactions t WHERE a.account_id = t.account_id": ("CREATE_VIEW", "transaction_summary", ["accounts", "transactions"]),
