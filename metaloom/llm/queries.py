@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from metaloom.llm import lookalike, mixing, packing, survivors, tokens
 from metaloom.llm.sql import SQL
 from metaloom.registry import Registry
+from metaloom.util import cut
 
 R = Registry()
 
@@ -26,7 +29,15 @@ def p1_fused(t):
 
 @R.add("p1_precedence", SQL["p1_precedence"])
 def p1_precedence(t):
-    return survivors.precedence(survivors.transitions(survivors._long(survivors.observations(t("data_discovery")), ("format",))))
+    return survivors.precedence(survivors.transitions(cut(survivors.observations(t("data_discovery")), "usable")))
+
+
+@R.add("p1_undated", SQL["p1_undated"])
+def p1_undated(t):
+    """The times of scans that arrived over a day late are not trusted and count as missing."""
+    d = t("data_discovery")
+    late = F.col("created_at") > F.col("discovered_at") + F.expr("interval 1 day")
+    return survivors.survivors(d.withColumn("discovered_at", F.when(~late, F.col("discovered_at"))))
 
 
 @R.add("p6_pack")

@@ -61,6 +61,18 @@ def usable(doc, at):
     return {k: v for k, v in out.items() if v is not None}
 
 
+def later(moves, f, v):
+    """All values that the learned order puts after v."""
+    seen, todo = set(), [v]
+    while todo:
+        x = todo.pop()
+        for g, a, w in moves:
+            if g == f and a == x and moves[f, x, w] > moves[f, w, x] and w not in seen:
+                seen.add(w)
+                todo.append(w)
+    return seen
+
+
 def brute(rows):
     groups = defaultdict(list)
     for i, a, at, doc in rows:
@@ -78,17 +90,21 @@ def brute(rows):
         low = datetime.min
         out[a, "record"] = max((len(u), at or low, i) for i, at, u in g)[2]
         for f in S.FIELDS:
-            timed = [(at, i, u[f]) for i, at, u in g if at and f in u]
-            cand = {}
+            timed = {}
+            for at, i, v in sorted((at, i, u[f]) for i, at, u in g if at and f in u):
+                timed[v] = (at, i)
+            loose = {}
             for i, at, u in g:
-                if at is None and f in u:
-                    cand[u[f]] = max(cand.get(u[f], (False, 0)), (False, i))
+                if at is None and f in u and u[f] not in timed:
+                    loose[u[f]] = max(i, loose.get(u[f], i))
+            last = max(timed, key=timed.get) if timed else None
+            before = lambda v, w: w in later(moves, f, v) and v not in later(moves, f, w)
+            behind = {v for v in loose if any(before(v, w) for w in timed)}
+            top = [(not (v in behind or any(before(v, w) for w in loose if w != v)), False, i, v) for v, i in loose.items()]
             if timed:
-                _, i, v = max(timed)
-                cand[v] = max(cand.get(v, (False, 0)), (True, i))
-            if cand:
-                free = {v: not any(moves[f, v, w] > moves[f, w, v] for w in cand if w != v) for v in cand}
-                out[a, f] = max((free[v], *cand[v], v) for v in cand)[2]
+                top.append((not any(before(last, w) for w in loose if w not in behind), True, timed[last][1], last))
+            if top:
+                out[a, f] = max(top)[2]
     return out
 
 
@@ -125,10 +141,42 @@ def test_learned_precedence_decides(spark):
     got = S.survivors(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).where("field_name = 'format'").collect()
     best = {r.asset_id: r.discovery_id for r in got}
     assert best["new"] == 90 and best["mixed"] == 93 and best["free"] == 95
-    p = S.precedence(S.transitions(S._long(S.observations(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA))))).collect()
+    p = S.precedence(S.transitions(S.observations(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)))).collect()
     assert [(r.earlier, r.later, r.n_for, r.n_against) for r in p] == [("csv", "parquet", 3, 0)]
 
 
+def formats(spark, groups):
+    """The surviving format of each group of (day or None, format)."""
+    rows = [(i, g, d and datetime(2024, 1, d), json.dumps({"format": f}), "", "") for i, (g, d, f) in enumerate((g, d, f) for g, x in groups.items() for d, f in x)]
+    got = S.survivors(spark.createDataFrame(rows, SCHEMA)).where("field_name = 'format'").collect()
+    return {r.asset_id: r.value for r in got}
+
+
+def test_own_order_stands_above_the_learned_one(spark):
+    back = {f"e{i}": [(1, "parquet"), (2, "csv")] for i in range(3)}
+    assert formats(spark, back | {"g": [(1, "csv"), (2, "parquet"), (None, "csv")]})["g"] == "parquet"
+
+
+def test_order_is_closed_over_other_groups(spark):
+    got = formats(spark, {"x": [(1, "a1"), (2, "b1")], "y": [(1, "b1"), (2, "c1")], "g": [(None, "c1"), (None, "a1")]})
+    assert got["g"] == "c1"
+    chain = {f"s{i}": [(1, f"v{i}"), (2, f"v{i + 1}")] for i in range(40)}
+    assert formats(spark, chain | {"g": [(None, "v40"), (None, "v0")], "h": [(1, "v7"), (None, "v3")], "k": [(1, "v7"), (None, "v9")]}).items() >= {"g": "v40", "h": "v7", "k": "v9"}.items()
+
+
+def test_cycles_of_majorities_decide_nothing(spark):
+    ring = {"x": [(1, "aa"), (2, "bb")], "y": [(1, "bb"), (2, "cc")], "z": [(1, "cc"), (2, "aa")], "w": [(1, "cc"), (2, "dd")]}
+    got = formats(spark, ring | {"g": [(None, "bb"), (None, "aa")], "h": [(None, "dd"), (None, "aa")], "t": [(1, "aa"), (None, "bb")]})
+    assert got["g"] == "aa" and got["h"] == "dd" and got["t"] == "aa"
+
+
+def test_moves_across_task_borders(spark):
+    rows = [(i, "hot", datetime(2024, 1, 1) + timedelta(minutes=i), json.dumps({"format": f"f{i % 3}"} if i % 5 else {}), "", "") for i in range(300)]
+    got = S.transitions(S.observations(spark.createDataFrame(rows, SCHEMA))).groupBy("was", "becomes").sum("n").collect()
+    seq = [f"f{i % 3}" for i in range(300) if i % 5]
+    assert {(r[0], r[1]): r[2] for r in got} == Counter((a, b) for a, b in zip(seq, seq[1:]) if a != b)
+
+
 def test_fused_and_empty(spark):
     rows = made(6, 0.0)
     df = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
