@@ -120,7 +120,7 @@ def p4_tables(t):
 
 @R.add("p5_found")
 def p5_found(t):
-    return nested.found(t("assets"), t("data_discovery"))
+    return nested.found(_nodes(t))
 
 
 def _nodes(t):

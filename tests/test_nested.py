@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from metaloom.operators import nested
 
@@ -74,11 +76,88 @@ DOCS = [
 def test_against_brute_force(spark, field):
     rows = [(i, d, "clash", "clash") for i, d in enumerate(DOCS)] + [(None, '[{"a": 1}]', "clash", "clash")]
     df = spark.createDataFrame(rows, "id bigint, d string, node_path string, record_key string")
-    for values in (True, False):
-        got = nested.shred_table(df, "id", {field: "d"}, values).where("node_path <> ''").collect()
-        for i, d in enumerate(DOCS):
-            assert sorted((r.node_path, r.parent_path) for r in got if r.record_key == str(i)) == brute(d, field), d
-        assert [r.node_path for r in got if r.record_key is None] == ["[0]"]
+    got = nested.found(nested.shred_table(df, "id", {field: "d"})).collect()
+    for i, d in enumerate(DOCS):
+        assert sorted((r.node_path, r.parent_path) for r in got if r.record_key == str(i)) == brute(d, field), d
+    assert [r.node_path for r in got if r.record_key is None] == ["[0]"]
+
+
+def plain(text, field):
+    """The rows of one document, by a recursive walk over Python's own reading of it."""
+    doc = nested.unwrap(nested.parse(text))
+    if type(doc) is dict and field in REP:
+        doc = [doc]
+    if type(doc) not in (dict, list):
+        return []
+    rows = [("", "", None, 0, [])]
+
+    def value(v):
+        return v if type(v) is str else json.dumps(v)
+
+    def walk(v, path, group, row, out, inner):
+        if type(v) is list:
+            for i, e in enumerate(v):
+                e = nested.unwrap(e)
+                if type(e) is dict:
+                    rows.append((group + "[]", f"{path}[{i}]", row, i, []))
+                    walk(e, f"{path}[{i}]", group + "[]", f"{path}[{i}]", rows[-1][4], "")
+                elif type(e) is list:
+                    walk(e, f"{path}[{i}]", group + "[]", row, out, inner + "[]")
+                elif e is not None:
+                    out.append((inner + "[]", i, value(e)))
+            return
+        for k, e in v.items():
+            e = nested.unwrap(e)
+            e = [e] if type(e) is dict and k in REP else e
+            p, g, n = (f"{x}.{k}" if x else k for x in (path, group, inner))
+            if type(e) in (dict, list):
+                walk(e, p, g, row, out, n)
+            else:
+                out.append((n, 0, None if e is None else value(e)))
+
+    walk(doc, "", "", "", rows[0][4], "")
+    return rows
+
+
+def sorted_rows(rows):
+    return sorted((g, n, p or "", o, sorted((a, b, c or "") for a, b, c in t)) for g, n, p, o, t in rows)
+
+
+_json = st.recursive(
+    st.none() | st.booleans() | st.integers(-9, 99) | st.text("ab\"\\{[ é", max_size=4),
+    lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from(["a", "files", "parts", "b c", "fields"]), x, max_size=4) | x.map(json.dumps),
+    max_leaves=20,
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(_json, st.sampled_from(["columns", "other"]), st.sampled_from([None, 1]), st.integers(0, 40))
+def test_stream_against_a_recursive_walk(v, field, indent, cut):
+    text = json.dumps(v, indent=indent)
+    assert sorted_rows(nested.shred(text, field)) == sorted_rows(plain(text, field))
+    short = text[:cut]
+    assert sorted_rows(nested.shred(short, field)) == sorted_rows(plain(short, field))
+
+
+@pytest.mark.parametrize("text", ['[1,]', '{"a":1,}', '{"a" 1}', '[1 2]', '{"a":1]', '[}', '[01]', '["\\x"]', '[1]x', '{,}', '["a\nb"]', '[tru]', '[-]', '[1.]', '{"a":"{\\"b\\":1"} ]'])
+def test_incomplete_documents_give_nothing(text):
+    assert nested.shred(text, "other") == [] and nested._tree(text) is None
+
+
+def test_no_depth_is_too_deep_and_no_number_too_long():
+    deep = '{"a":' * 100_000 + '[{"b": 1}]' + "}" * 100_000
+    rows = nested.shred(deep, "other")
+    assert len(rows) == 2 and rows[1][4] == [("b", 0, "1")]
+    assert nested.parse("[" * 50_000 + "]" * 50_000) is not None
+    n = "7" * 5_000
+    assert nested.shred('{"files": [{"n": %s}]}' % n, "other")[1][4] == [("n", 0, n)]
+    assert nested.parse('{"n": %s}' % n) == {"n": n}
+
+
+def test_repeated_keys_count_once():
+    rows = nested.shred('{"a": 1, "files": [{"x": 1}], "a": {"b": 2, "b": 3}, "files": [{"y": 1}, {}]}', "other")
+    assert sorted_rows(rows) == sorted_rows([("", "", None, 0, [("a.b", 0, "3")]), ("files[]", "files[0]", "", 0, [("y", 0, "1")]), ("files[]", "files[1]", "", 1, [])])
+    assert nested.shred('["\\ud83d"]', "other")[0][4] == [("[]", 0, "\ufffd")]
 
 
 def test_flat_tables_keep_links_and_values(spark):
