@@ -48,7 +48,7 @@ def p6_pack(t):
 @R.add("p6_fill")
 def p6_fill(t):
     b = _budgets(t)
-    return packing.fill_report(packing.pack_documents(t("documents"), b), b)
+    return packing.fill_report(packing.placements(t("documents"), b), b)
 
 
 @R.add("p7_mix")

@@ -1,5 +1,7 @@
 import os
+import random
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -11,24 +13,53 @@ from metaloom.llm import tokens as T
 needs_tokens = pytest.mark.skipif(not os.path.exists(T.RANKS), reason="no vocabulary here")
 
 
-@settings(max_examples=200, deadline=None)
+def square(bins, sizes):
+    return sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+
+
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60), st.integers(50, 120))
 def test_pack_is_a_partition_within_capacity(sizes, cap):
-    start, bins = P.best_fit(sizes, cap), P.pack(sizes, cap)
-    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in b) <= cap for b in bins)
+    start, bins = P.as_they_come(sizes, cap), P.pack(sizes, cap)
+    for x in (start, bins):
+        assert sorted(i for b in x for i in b) == list(range(len(sizes)))
+        assert all(0 < sum(sizes[i] for i in b) <= cap for b in x)
     assert -(-sum(sizes) // cap) <= len(bins) <= len(start)
+    assert square(bins, sizes) >= square(start, sizes)
+    assert square(P.local_search(bins, sizes, cap), sizes) == square(bins, sizes)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=14), st.integers(30, 60))
+def test_no_step_is_left(sizes, cap):
+    bins = P.pack(sizes, cap)
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    for d in range(len(bins)):
+        for s in range(len(bins)):
+            if s == d or fill[s] > fill[d]:
+                continue
+            space = cap - fill[d]
+            for out in (c for k in (1, 2) for c in combinations(bins[s], k)):
+                for back in (c for k in (0, 1, 2) if len(out) + k < 4 and (len(out), k) != (2, 0) for c in combinations(bins[d], k)):
+                    gain = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
+                    assert not 0 < gain <= space, (sizes, cap, bins, out, back)
+
+
+def test_search_empties_containers_the_start_left():
+    rng = random.Random(5)
+    for least, most, cap in ((500, 1199, 2048), (20, 400, 512), (1, 60, 256)):
+        sizes = [rng.randint(least, most) for _ in range(2000)]
+        start, bins = P.as_they_come(sizes, cap), P.pack(sizes, cap)
+        assert len(bins) < 0.95 * len(start) and len(bins) <= 1.05 * -(-sum(sizes) // cap)
 
 
-def test_search_exchanges_until_containers_empty():
-    sizes, cap = [6, 4, 5, 5, 3, 3, 4], 10
-    loose = [[0, 4], [1, 5], [2], [3], [6]]
-    better = P.local_search([list(b) for b in loose], sizes, cap)
-    square = lambda bins: sum(sum(sizes[i] for i in b) ** 2 for b in bins)
-    assert len(better) == 3 and square(better) > square(loose)
-    assert P._exchange([0], [1, 2], [7, 3, 3], 4) is not None  # 7 for 3: four more
-    assert P._exchange([0], [1, 2], [8, 3, 3], 2) == ((0,), (1, 2))  # 8 for two threes: two more
-    assert P._exchange([0, 1], [2], [4, 4, 5], 3) == ((0, 1), (2,))
+def test_each_kind_of_step():
+    assert P.local_search([[0], [1]], [4, 5], 10) == [[0, 1]]  # a move
+    assert len(P.local_search([[0, 1], [2, 3], [4]], [7, 2, 6, 3, 2], 10)) == 2
+    two = P.local_search([[0, 1, 2], [3, 4]], [8, 3, 3, 10, 1], 16)
+    assert square(two, [8, 3, 3, 10, 1]) > square([[0, 1, 2], [3, 4]], [8, 3, 3, 10, 1])
+    held, fill = [{0, 1}, {2, 3}], [12, 8]
+    assert P._two_for_one(held, fill, [7, 5, 4, 4], 13) == 1 and fill == [13, 7]  # 4 + 4 for 7
 
 
 @needs_tokens
@@ -57,8 +88,9 @@ def test_documents(spark):
         assert len(fill) <= -(-sum(sizes.values()) // cap) * 1.05 + 2
         assert all((r.container_id is None) == (sizes[r.doc_id] == 0) for r in rows)
     assert not [r for r in out if r.budget_name == "none"]
-    report = {r.budget_name: r for r in P.fill_report(spark.createDataFrame(out, P.OUT.replace(", loose boolean", "")), budgets[:2]).collect()}
+    report = {r.budget_name: r for r in P.fill_report(P.placements(df, budgets, shard_items=40), budgets[:2]).collect()}
     assert report["s"].n_over == 0 and report["s"].fill > 0.95
+    assert report["s"].n_emptied == report["s"].n_started - report["s"].n_containers > 0
 
 
 @needs_tokens
