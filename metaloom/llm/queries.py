@@ -73,7 +73,13 @@ def p8_classes(t):
 
 @R.add("p8_forms")
 def p8_forms(t):
-    return lookalike.forms(t("documents"), with_text=True).select("doc_id", "look_text", "norm_text")
+    return lookalike.forms(t("documents"))
+
+
+@R.add("p8_report")
+def p8_report(t):
+    """How many candidates the normal form finds and how many of them the check rejects."""
+    return lookalike.look_report(t("documents"))
 
 
 @R.add("p6_tokens")
