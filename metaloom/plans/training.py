@@ -103,6 +103,26 @@ def p3_descendants_all(t):
     return hierarchy.descendants(hierarchy.folder_links(t("lineage_relationships")), "source_asset_id", "target_asset_id")
 
 
+@R.add(
+    "p3_cycles",
+    f"""WITH RECURSIVE {_TREE} SELECT root AS cycle_id, count(*) AS n_nodes, min(l.p) FILTER (l.c = root) AS back_source, root AS back_target
+    FROM ringroot JOIN l ON l.c = ringroot.id GROUP BY root""",
+)
+def p3_cycles(t):
+    return hierarchy.cycles(hierarchy.folder_links(t("lineage_relationships")), "source_asset_id", "target_asset_id")
+
+
+@R.add(
+    "p3_parents",
+    f"""WITH e AS (SELECT DISTINCT {sql_id('target_asset_id')} AS c, {sql_id('source_asset_id')} AS p FROM lineage_relationships),
+    f AS (SELECT * FROM e WHERE c IS NOT NULL AND p IS NOT NULL)
+    SELECT c AS asset_id, p AS parent_id, p = min(p) OVER (PARTITION BY c) AS is_kept FROM f QUALIFY count(*) OVER (PARTITION BY c) > 1""",
+)
+def p3_parents(t):
+    """Over links of all types; folder_hierarchy alone gives each child one parent."""
+    return hierarchy.several_parents(t("lineage_relationships"), "source_asset_id", "target_asset_id")
+
+
 @R.add("p4_found")
 def p4_found(t):
     return drift.schema_changes(t("data_discovery"), t("assets")).select("asset_id", "discovery_id", "change_kind", "old_name", "new_name")

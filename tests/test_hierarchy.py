@@ -3,7 +3,10 @@ import random
 
 import pytest
 
-from metaloom.operators.hierarchy import descendants, hierarchy
+from hypothesis import given
+from hypothesis import strategies as st
+
+from metaloom.operators.hierarchy import Md5, cycles, descendants, hierarchy, several_parents
 
 SCHEMA = "p string, c string, path string, comp string"
 
@@ -56,7 +59,7 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 @pytest.mark.parametrize("most", [250_000, 1])
 def test_cases(spark, name, most):
-    assert run(spark, CASES[name], max_component=most) == brute(CASES[name])
+    assert run(spark, CASES[name], piece=most) == brute(CASES[name])
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -65,7 +68,34 @@ def test_random_forests_with_rings(spark, seed):
     links = [(f"v{rng.randrange(max(1, i))}" if rng.random() < 0.9 else f"v{rng.randrange(80)}", f"v{i}") for i in range(80) if rng.random() < 0.85]
     want = brute(links)
     assert run(spark, links) == want
-    assert run(spark, links, max_component=5) == want
+    assert run(spark, links, piece=5) == want
+
+
+@given(st.lists(st.binary(max_size=90), max_size=8))
+def test_digest_goes_on_from_a_state(parts):
+    h = Md5()
+    for p in parts:
+        h = Md5(h.plus(p).state())
+    assert h.hex() == hashlib.md5(b"".join(parts)).hexdigest()
+
+
+def test_deep_chain_and_caterpillar_in_pieces(spark):
+    n = 3000
+    links = [(f"n{i}", f"n{i + 1}") for i in range(n)] + [(f"n{i}", f"leaf{i}") for i in range(0, n, 7)]
+    df = spark.createDataFrame(links, "p string, c string")
+    whole = {tuple(r)[:6] for r in hierarchy(df, "p", "c", with_path=False).collect()}
+    cut = {tuple(r)[:6] for r in hierarchy(df, "p", "c", piece=700, with_path=False).collect()}
+    assert whole == cut and len(whole) == n + 1 + len(range(0, n, 7))
+    h, got = hashlib.md5(b"n0"), {r[0]: r for r in whole}
+    for i in range(1, n + 1):
+        h.update(b">n%d" % i)
+        assert got[f"n{i}"][3] == i and got[f"n{i}"][5] == h.hexdigest()
+
+
+def test_cycles_and_parents(spark):
+    df = spark.createDataFrame([*CASES["ring"], ("x", "b"), ("q", "q")], "p string, c string")
+    assert sorted(map(tuple, cycles(df, "p", "c").collect())) == [("a", 3, "c", "a"), ("q", 1, "q", "q")]
+    assert sorted(map(tuple, several_parents(df, "p", "c").collect())) == [("b", "a", True), ("b", "x", False)]
 
 
 def test_descendants(spark):
@@ -95,7 +125,7 @@ def brute_pairs(links):
 @pytest.mark.parametrize("most", [250_000, 1])
 def test_descendants_in_cyclic_components(spark, name, most):
     df = spark.createDataFrame(CASES[name], "p string, c string")
-    got = sorted(map(tuple, descendants(df, "p", "c", max_component=most).collect()))
+    got = sorted(map(tuple, descendants(df, "p", "c", piece=most).collect()))
     assert got == brute_pairs(CASES[name])
     counts = {r.asset_id: r.n_descendants for r in hierarchy(df, "p", "c").collect()}
     assert {n: sum(a == n for a, *_ in got) for n in counts} == counts
