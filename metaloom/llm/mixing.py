@@ -1,18 +1,20 @@
 """Mixing sources to target weights.
 
 The distinct texts of each source, in a pseudorandom order, are packed into blocks of a fixed number
-of tokens. For every output shard the number of slots of each source is drawn multinomially from
-what is still to be placed, so the totals come out exactly. The g-th slot of a source maps through
-the source's pseudorandom permutation of its block numbers, a new one for each repetition, and the
+of tokens. For every output shard the number of slots of each source is drawn multinomially under the
+condition that the totals come out exactly. Such draws split: the shards are halved again and again, and what
+the one half holds is drawn from what both hold, so a task draws the counts of its own shards from the totals in
+log2(shards) steps and nothing is planned elsewhere, however many shards there are. The g-th slot of a source maps
+through the source's pseudorandom permutation of its block numbers, a new one for each repetition, and the
 blocks are joined on by number.
 
 Every block occurs at most max_repeats times, so does every text. The size of a mix is the largest
 at which every source that has any text reaches its share; shares of absent sources go to the others
-in proportion, and the report shows target and actual shares of all.
+in proportion, and the report shows target and actual shares of all and what stays unused.
 
 Skew: texts are spread over buckets by hash, a source that holds a third of all rows is as many
-buckets; prefix sums run within buckets and over bucket totals. Blocks are drawn equally often, so
-the final join has no hot key.
+buckets; prefix sums run within buckets, over buckets and over thousands of them. Blocks are drawn equally
+often, so the final join has no hot key.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metaloom.llm.tokens import RANKS, token_counts
-from metaloom.util import arrow_map, cut, strip
+from metaloom.llm.tokens import RANKS, share, token_counts
+from metaloom.util import arrow_map, cut, strip, tasks
 
 
 def source_key(c):
@@ -63,23 +65,41 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draw_shards(totals: list[int], shard_slots: int, seed: int) -> np.ndarray:
-    """counts[shard, source]: multinomial draws for one shard after another, with what is still to be
-    placed as the weights and as the bound; every column adds up to its total."""
-    left = np.array(totals, dtype=np.int64)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    rows = []
-    while left.sum():
-        want = min(shard_slots, int(left.sum()))
-        got = np.zeros_like(left)
-        while want:
-            free = left - got
-            draw = np.minimum(rng.multinomial(want, free / free.sum()), free)
-            got += draw
-            want -= int(draw.sum())
-        left -= got
-        rows.append(got)
-    return np.array(rows, dtype=np.int64).reshape(-1, len(totals))
+def _drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good. Beyond numpy's range the normal law of the same mean and
+    variance stands in, whose error is far below one part in a million there."""
+    if max(good, bad, n) < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    m = good + bad
+    mean, var = n * good / m, n * (good / m) * (bad / m) * ((m - n) / (m - 1))
+    return min(good, n, max(0, n - bad, round(rng.normal(mean, var**0.5))))
+
+
+def shard_counts(totals: list[int], shard_slots: int, seed: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts[shard, source] of the shards lo to hi - 1, slots of each source in the shards before). Every shard
+    but the last has shard_slots slots; over all shards each source has its total."""
+    whole = sum(totals)
+    counts, before = np.zeros((hi - lo, len(totals)), dtype=np.int64), np.zeros(len(totals), dtype=np.int64)
+    stack = [(0, -(-whole // shard_slots), list(totals))]
+    while stack:
+        a, z, left = stack.pop()
+        if z <= lo:
+            before += np.array(left, dtype=np.int64)
+        elif a >= hi or a >= z:
+            continue
+        elif z - a == 1:
+            counts[a - lo] = left
+        else:
+            mid = (a + z) // 2
+            want, rest = min(whole, mid * shard_slots) - a * shard_slots, sum(left)
+            rng = np.random.Generator(np.random.PCG64([seed, a, z]))
+            first = []
+            for n in left:
+                rest -= n
+                first.append(_drawn(rng, n, rest, want) if n and want else 0)
+                want -= first[-1]
+            stack += [(a, mid, first), (mid, z, [n - k for n, k in zip(left, first)])]
+    return counts, before
 
 
 def pool(docs: DataFrame, targets: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -103,8 +123,12 @@ def blocks(texts: DataFrame, sizes: list[tuple[str, str, int]], block_tokens: in
         n_buckets = F.when((F.col("mix_name") == m) & (F.col("source") == s), max(1, -(-n // bucket_texts))).otherwise(n_buckets)
     r = texts.withColumn("r", F.xxhash64(F.lit(seed), "source", "text_id")).withColumn("bucket", F.pmod(F.col("r"), n_buckets))
     tot = r.groupBy("mix_name", "source", "bucket").agg(F.sum("n_tokens").alias("b"))
-    w = Window.partitionBy("mix_name", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select("mix_name", "source", "bucket", F.coalesce(F.sum("b").over(w), F.lit(0)).alias("before"))
+    # sums over buckets, in groups of a thousand, so that no window holds all buckets of a large source
+    tot = tot.withColumn("group", F.floor(F.col("bucket") / 1000))
+    by = lambda *k: Window.partitionBy("mix_name", "source", *k[:-1]).orderBy(k[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = tot.groupBy("mix_name", "source", "group").agg(F.sum("b").alias("g")).withColumn("earlier", F.coalesce(F.sum("g").over(by("group")), F.lit(0))).drop("g")
+    tot = tot.withColumn("within", F.coalesce(F.sum("b").over(by("group", "bucket")), F.lit(0))).join(groups, ["mix_name", "source", "group"])
+    tot = tot.select("mix_name", "source", "bucket", (F.col("within") + F.col("earlier")).alias("before"))
     run = Window.partitionBy("mix_name", "source", "bucket").orderBy("r", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("upto", F.sum("n_tokens").over(run)).join(tot, ["mix_name", "source", "bucket"])
     start = F.col("before") + F.col("upto") - F.col("n_tokens")
@@ -118,11 +142,11 @@ def blocks(texts: DataFrame, sizes: list[tuple[str, str, int]], block_tokens: in
     )
 
 
-def plan(available: dict[tuple[str, str], tuple[int, int]], targets: list[tuple[str, str, float, int]], block_tokens: int, total_tokens: int | None = None):
+def plan(available: dict[tuple[str, str], tuple[int, int]], targets: list[tuple[str, str, float, int]], block_tokens: int, total_tokens: int | str | None = None):
     """(mix, source, share, repeats, tokens, blocks, slots) of each target. available has (texts, tokens).
 
-    Without total_tokens a mix is as large as its scarcest present source allows; with it, a source
-    that cannot fill its share gives all it may, and the shortfall shows in the report. Targets that
+    Without total_tokens a mix is as large as its scarcest present source allows; with it (a number, or
+    "available" for all tokens of its sources), a source that cannot fill its share gives all it may, and the shortfall shows in the report. Targets that
     give a source twice, no positive share or no repeats are taken as absent."""
     out = []
     for mix in sorted({m for m, *_ in targets}):
@@ -131,7 +155,7 @@ def plan(available: dict[tuple[str, str], tuple[int, int]], targets: list[tuple[
         weight = sum(rows[s][0] for s in have)
         whole = min((rows[s][1] * n * weight / rows[s][0] for s, n in have.items()), default=0)
         if total_tokens is not None:
-            whole = total_tokens
+            whole = sum(have.values()) if total_tokens == "available" else total_tokens
         for s, (sh, rep) in sorted(rows.items()):
             n = have.get(s, 0)
             b = -(-n // block_tokens)
@@ -140,12 +164,13 @@ def plan(available: dict[tuple[str, str], tuple[int, int]], targets: list[tuple[
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, seed: int = 7, total_tokens: int | None = None, max_shards: int = 4096, ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, seed: int = 7, total_tokens: int | str | None = None, shard_slots: int = 1024, ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
     """(pieces, report).
 
     pieces: (mix_name, shard_no, slot_no, source, block_no, piece_no, doc_id, token_from, token_to), the
     content of every slot in order. report: (mix_name, source, target_share, max_repeats, n_texts,
-    available_tokens, n_slots, actual_tokens, actual_share, most_repeats) of every target.
+    available_tokens, n_slots, actual_tokens, actual_share, unused_tokens, most_repeats) of every target; unused are
+    the tokens that occur nowhere in the mix.
     The targets are a small table and are read to the driver; so are the counts per target."""
     spark = docs.sparkSession
     wanted = [(r.mix_name, r.source, r.target_share, r.max_repeats) for r in targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share", "max_repeats").collect() if r.mix_name is not None and r.source is not None]
@@ -155,35 +180,37 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, seed: int
     rows = plan(have, wanted, block_tokens, total_tokens)
     made = cut(blocks(texts, [(m, s, n) for (m, s), (n, _) in have.items()], block_tokens, seed), "blocks")
 
-    shards = []
+    plans, at_once, n_chunks = [], 64, 0  # of each mix: name, first chunk, shards, and lists by source
     for name in sorted({r[0] for r in rows}):
         mine = [r for r in rows if r[0] == name and r[6]]
-        total = sum(r[6] for r in mine)
-        if not total:
-            continue
-        per = max(1024, -(-total // max_shards))
-        counts = draw_shards([r[6] for r in mine], per, _seed(seed, name))
-        before = np.zeros(len(mine), dtype=np.int64)
-        for k, c in enumerate(counts):
-            at = np.cumsum(c) - c
-            for j, r in enumerate(mine):
-                if c[j]:
-                    shards.append((name, k, r[1], int(c[j]), int(before[j]), int(at[j]), int(c.sum()), int(r[5]), _seed(seed, name, r[1])))
-            before += c
-    s = spark.createDataFrame(shards, "mix_name string, shard_no int, source string, n bigint, first bigint, at bigint, shard_slots bigint, n_blocks bigint, key bigint")
-    s = s.repartition(F.col("mix_name"), F.col("shard_no"), F.col("source")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    s = s.select("mix_name", "shard_no", "source", (F.col("first") + F.col("i")).alias("g"), (F.col("at") + F.col("i")).alias("p"), "shard_slots", "n_blocks", "key")
+        if mine:
+            n = -(-sum(r[6] for r in mine) // shard_slots)
+            plans.append((name, n_chunks, n, [r[1] for r in mine], [r[6] for r in mine], [r[5] for r in mine], [_seed(seed, name, r[1]) for r in mine], _seed(seed, name)))
+            n_chunks += -(-n // at_once)
 
     def run(batches):
         for b in batches:
-            g, p, size, n, key = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8))
-            with np.errstate(over="ignore"):
-                epoch = (g // n).astype(np.uint64)
-                block = permute(g % n, n, key.astype(np.uint64) + epoch * np.uint64(0xD1B54A32D192ED03))
-                slot = permute(p, size, b.column(1).to_numpy().astype(np.uint64) + np.uint64(seed))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(slot), pa.array(block)], names=["mix_name", "shard_no", "source", "slot_no", "block_no"])
-
-    slots = arrow_map(s, run, "mix_name string, shard_no int, source string, slot_no bigint, block_no bigint")
+            for chunk in b.column(0).to_pylist():
+                name, first, n_shards, sources, totals, n_blocks, keys, own = next(p for p in reversed(plans) if p[1] <= chunk)
+                lo = (chunk - first) * at_once
+                counts, before = shard_counts(totals, shard_slots, own, lo, min(n_shards, lo + at_once))
+                n, key = np.array(n_blocks, dtype=np.int64), np.array(keys, dtype=np.uint64)
+                for k, c in enumerate(counts):
+                    s, p, size = np.repeat(np.arange(len(c)), c), np.arange(c.sum()), int(c.sum())
+                    g = before[s] + p - np.repeat(np.cumsum(c) - c, c)
+                    before += c
+                    with np.errstate(over="ignore"):
+                        epoch = (g // n[s]).astype(np.uint64)
+                        block = permute(g % n[s], n[s], key[s] + epoch * np.uint64(0xD1B54A32D192ED03))
+                        slot = permute(p, np.full(size, size), np.full(size, lo + k + seed))
+                    names = pa.DictionaryArray.from_arrays(pa.array(s, pa.int32()), pa.array(sources, pa.string())).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * size, pa.string()), pa.array([lo + k] * size, pa.int64()), names, pa.array(slot), pa.array(block)],
+                        names=["mix_name", "shard_no", "source", "slot_no", "block_no"],
+                    )
+
+    chunks = spark.range(0, n_chunks, 1, max(1, min(n_chunks, 4 * tasks(spark))))
+    slots = arrow_map(chunks, run, "mix_name string, shard_no bigint, source string, slot_no bigint, block_no bigint")
     pieces = cut(slots.join(made, ["mix_name", "source", "block_no"]).select(
         "mix_name", "shard_no", "slot_no", "source", "block_no", F.col("at").alias("token_at"), "doc_id", "token_from", "token_to",
     ), "mix")
@@ -197,7 +224,7 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, seed: int
     w = Window.partitionBy("mix_name")
     report = base.join(used, ["mix_name", "source"], "left").join(most, ["mix_name", "source"], "left").fillna(0, ["actual_tokens", "most_repeats"])
     report = report.withColumn("actual_share", F.coalesce(F.round(F.try_divide(F.col("actual_tokens"), F.sum("actual_tokens").over(w)), 6), F.lit(0.0)))
-    return pieces, report
+    return pieces, report.withColumn("unused_tokens", F.greatest(F.col("available_tokens") - F.col("actual_tokens"), F.lit(0)))
 
 
 def render(pieces: DataFrame, docs: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -208,8 +235,9 @@ def render(pieces: DataFrame, docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     where = F.struct("mix_name", "shard_no", "slot_no", "source", "token_at", "token_from", "token_to")
     p = pieces.groupBy("doc_id").agg(F.collect_list(where).alias("p"))
     d = p.join(docs.select("doc_id", "text"), "doc_id").select("text", "p")
+    share(docs.sparkSession, ranks)
     names = ["mix_name", "shard_no", "slot_no", "source", "token_at", "ids"]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32())]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32())]
 
     def run(batches):
         from metaloom.llm.tokens import encoding
@@ -222,6 +250,6 @@ def render(pieces: DataFrame, docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 cols.append([ids[r["token_from"] : r["token_to"]] for r in rows])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    out = arrow_map(d, run, "mix_name string, shard_no int, slot_no bigint, source string, token_at int, ids array<int>")
+    out = arrow_map(d, run, "mix_name string, shard_no bigint, slot_no bigint, source string, token_at int, ids array<int>")
     g = out.groupBy("mix_name", "shard_no", "slot_no", "source").agg(F.array_sort(F.collect_list(F.struct("token_at", "ids"))).alias("x"))
     return g.select("mix_name", "shard_no", "slot_no", "source", F.flatten(F.transform("x", lambda y: y["ids"])).alias("token_ids"))

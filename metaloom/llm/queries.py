@@ -61,6 +61,12 @@ def p7_shares(t):
     return mixing.mix(t("documents"), t("mix_targets"))[1]
 
 
+@R.add("p7_shares_all")
+def p7_shares_all(t):
+    """Mixes as large as all their sources together: scarce sources go to their cap, and the shares show it."""
+    return mixing.mix(t("documents"), t("mix_targets"), total_tokens="available")[1]
+
+
 @R.add("p8_found")
 def p8_found(t):
     return lookalike.same_look_pairs(t("documents"))

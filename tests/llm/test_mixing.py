@@ -22,9 +22,24 @@ def test_permutations(n):
 
 
 def test_shards_add_up():
-    c = M.draw_shards([700, 0, 41, 259], 64, 3)
-    assert c.sum(axis=0).tolist() == [700, 0, 41, 259] and (c.sum(axis=1)[:-1] == 64).all()
-    assert (M.draw_shards([700, 0, 41, 259], 64, 3) == c).all()
+    totals, n = [700, 0, 41, 259], 16
+    c, before = M.shard_counts(totals, 64, 3, 0, n)
+    assert c.sum(axis=0).tolist() == totals and (c.sum(axis=1)[:-1] == 64).all() and c.sum(axis=1)[-1] == 1000 - 15 * 64 and not before.any()
+    for lo, hi in ((0, 1), (3, 9), (15, 16)):  # any task draws the same
+        part, before = M.shard_counts(totals, 64, 3, lo, hi)
+        assert (part == c[lo:hi]).all() and (before == c[:lo].sum(axis=0)).all()
+    spread = np.array([M.shard_counts([500, 500], 100, k, 0, 10)[0][4, 0] for k in range(400)])
+    assert abs(spread.mean() - 50) < 1.5 and 3.5 < spread.std() < 6.5  # without replacement: 4.7
+
+
+def test_shards_of_any_number():
+    totals = [10**12, 3 * 10**11, 7]
+    a, before = M.shard_counts(totals, 1024, 1, 10**9, 10**9 + 3)
+    assert (a.sum(axis=1) == 1024).all() and before.sum() == 1024 * 10**9 and (before <= totals).all()
+    assert abs(before[0] / before.sum() - 10 / 13) < 1e-6
+    n = -(-sum(totals) // 1024)
+    last, before = M.shard_counts(totals, 1024, 1, n - 1, n)
+    assert (before + last[0]).tolist() == totals
 
 
 def docs(spark, rows):
