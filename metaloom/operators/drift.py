@@ -3,7 +3,11 @@
 Every document is brought to a canonical schema with a fingerprint. Along the scans of an asset the
 fingerprint changes open a new version, and each pair of versions gives explicit migration steps
 (rename, retype, add, remove). A file is routed through the chain of steps after it to the one
-consistent table.
+consistent table, by chained rename, cast and default rules.
+
+A column that is removed stays in the table under its last name and type. If that name stands for another
+column by then, as when it was added again later, it is set apart by its version: n#1 for the one removed last, n#2
+for the one before.
 
 Skew: rows are range-partitioned by (asset, time, id), so an asset that holds a third of all rows is
 spread over tasks like any other. Each task compares neighbours while it streams; the first and last
@@ -179,12 +183,29 @@ def _load(t: str) -> dict:
     return {n: (k, d) for n, k, d in json.loads(t)}
 
 
-def before(a: dict[str, tuple[str, str]], found: list[tuple[str, str, str]], end: dict[str, tuple[str, str]]) -> dict[str, tuple[str, str]]:
-    """name in schema a -> (name, type) at the end, given the steps to the next schema and the next
-    schema's own way to the end. A removed column stays under its last name and type."""
+class Table:
+    """The columns of a consistent table, found from the last schema backwards: column -> (type, name it was
+    removed under, null for the columns of the last schema)."""
+
+    def __init__(self, last: dict[str, tuple[str, str]] | None = None):
+        self.columns: dict[str, tuple[str, str | None]] = {n: (t, None) for n, (t, _) in (last or {}).items()}
+
+    def removed(self, name: str, kind: str) -> tuple[str, str]:
+        """(column, type) of a column that was removed under a name, as one of its own."""
+        column, k = name, 0
+        while column in self.columns:
+            k += 1
+            column = f"{name}#{k}"
+        self.columns[column] = (kind, name)
+        return column, kind
+
+
+def before(a: dict[str, tuple[str, str]], found: list[tuple[str, str, str]], end: dict[str, tuple[str, str]], table: Table) -> dict[str, tuple[str, str]]:
+    """name in schema a -> (column, type) of the table, given the steps to the next schema and the next
+    schema's own way to the table."""
     new_name = {old: new for kind, old, new in found if kind == "renamed"}
     removed = {old for kind, old, _ in found if kind == "removed"}
-    return {n: (n, t) if n in removed else end[new_name.get(n, n)] for n, (t, _) in a.items()}
+    return {n: table.removed(n, a[n][0]) if n in removed else end[new_name.get(n, n)] for n in sorted(a)}
 
 
 class _Run:
@@ -215,18 +236,19 @@ class _Run:
         return found
 
     def routes(self):
-        """((file, source name, source type, name at the end, type at the end), names at the start ->
-        names at the end)."""
+        """(file, source name, source type, column, type) of the table of these versions; afterwards names has
+        the way from the first schema, and table the columns."""
+        self.table = Table(self.versions[-1])
         end: dict[str, tuple[str, str]] = {n: (n, t) for n, (t, _) in self.versions[-1].items()}
         maps = [end]
         for a, found in zip(reversed(self.versions[:-1]), reversed(self.chain)):
-            end = before(a, found, end)
+            end = before(a, found, end, self.table)
             maps.append(end)
         maps.reverse()
         for f, i in self.files:
             for n, (t, _) in self.versions[i].items():
                 yield f, n, t, *maps[i][n]
-        self.names = json.dumps(maps[0])
+        self.names = json.dumps({"names": maps[0], "table": self.table.columns})
 
 
 _OUT = [
@@ -284,7 +306,7 @@ def _pass(files: bool):
                 put("head", asset, at, scan, id_, None, _dump(s), names, None, None, tail)
             if last_run:
                 (scan, at, id_), s, _ = one.last
-                put("tail", asset, at, scan, id_, None, _dump(s), None, None, None, tail)
+                put("tail", asset, at, scan, id_, None, _dump(s), names, None, None, tail)
             return True
 
         for b in batches:
@@ -307,10 +329,20 @@ def _pass(files: bool):
     return run
 
 
-def _border(a: str, b: str):
-    """Steps across a task border; a few rows a task, so a plain function will do."""
-    x, y = _load(a), _load(b)
-    return [(k, o, n, x.get(o, ("",))[0], y.get(n, ("",))[0]) for k, o, n in steps(x, y)]
+def _border_steps(pairs: DataFrame) -> DataFrame:
+    """The changes across task borders, from rows of (asset_id, discovery_id, schema before, schema after)."""
+    names = ["asset_id", "discovery_id", "change_kind", "old_name", "new_name", "old_type", "new_type"]
+    kinds = [pa.string(), pa.int64()] + [pa.string()] * 5
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for asset, i, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = _load(x), _load(y)
+                rows += [(asset, i, k, o, n, x.get(o, ("",))[0], y.get(n, ("",))[0]) for k, o, n in steps(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names=names)
+
+    return arrow_map(pairs, run, "asset_id string, discovery_id bigint, change_kind string, old_name string, new_name string, old_type string, new_type string")
 
 
 def _borders(marks: DataFrame) -> DataFrame:
@@ -326,11 +358,8 @@ def _collected(scans: DataFrame, assets: DataFrame | None, files: bool) -> DataF
 
 def _all_changes(got: DataFrame) -> DataFrame:
     inner = got.where("what = 'change'").select("asset_id", "discovery_id", "change_kind", "old_name", "new_name", "old_type", "new_type")
-    border = F.udf(_border, "array<struct<kind: string, old: string, new: string, old_type: string, new_type: string>>", useArrow=False)
-    over = _borders(got.where("what in ('head', 'tail')")).select(
-        "asset_id", "discovery_id", F.explode(border(F.col("p.doc"), F.col("old_name"))).alias("x")
-    ).select("asset_id", "discovery_id", F.col("x.kind").alias("change_kind"), F.col("x.old").alias("old_name"), F.col("x.new").alias("new_name"), F.col("x.old_type").alias("old_type"), F.col("x.new_type").alias("new_type"))
-    return inner.unionByName(over)
+    over = _borders(got.where("what in ('head', 'tail')")).select("asset_id", "discovery_id", F.col("p.doc"), "old_name")
+    return inner.unionByName(_border_steps(over))
 
 
 def schema_changes(scans: DataFrame, assets: DataFrame | None = None) -> DataFrame:
@@ -342,28 +371,41 @@ def schema_changes(scans: DataFrame, assets: DataFrame | None = None) -> DataFra
     return _all_changes(_collected(scans, assets, False))
 
 
-def routes(scans: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """(asset_id, discovery_id, source_name, source_type, column_name, column_type, rule), a row per file
-    and column: how the file's column enters the consistent table of its asset. rule is keep, rename,
-    cast or rename_cast; a column of the table that a file lacks is filled with null.
-
-    A task knows the way to the end of its own rows. For an asset cut by task borders the rest of the
-    way is found from the marks (a few rows a task) and joined on."""
+def _routed(scans: DataFrame, assets: DataFrame | None) -> DataFrame:
+    """(asset_id, discovery_id, source_name, source_type, column_name, column_type) of the columns files have."""
     got = _collected(scans, assets, True)
-    marks = got.where("what in ('head', 'tail')")
-    way = _later(marks)
+    way = _later(got.where("what in ('head', 'tail')"))
     r = got.where("what = 'route'").select("asset_id", "discovery_id", F.col("old_name").alias("source_name"), F.col("old_type").alias("source_type"), F.col("new_name").alias("mid"), F.col("new_type").alias("mid_type"), "tail")
-    r = r.join(way, ["asset_id", "tail", "mid"], "left").select(
+    return r.join(way, ["asset_id", "tail", "mid"], "left").select(
         "asset_id", "discovery_id", "source_name", "source_type",
         F.coalesce("end", "mid").alias("column_name"), F.coalesce("end_type", "mid_type").alias("column_type"),
     )
+
+
+def routes(scans: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(asset_id, discovery_id, source_name, source_type, column_name, column_type, rule), a row per file
+    and column of the consistent table of its asset: how the file's column enters it. rule is keep, rename, cast
+    or rename_cast, and default, without a source, for a column that the file lacks. Columns that only the
+    asset's own columns have are no file's and are left out.
+
+    A task knows the way to the end of its own rows. For an asset cut by task borders the rest of the
+    way is found from the marks (a few rows a task) and joined on. Defaults take one row of column names
+    per file and one of the table per asset, so no rows of a group meet one another."""
+    r = cut(_routed(scans, assets), "routed")
     renamed, cast = F.col("source_name") != F.col("column_name"), F.col("source_type") != F.col("column_type")
-    return r.withColumn("rule", F.when(renamed & cast, "rename_cast").when(renamed, "rename").when(cast, "cast").otherwise("keep"))
+    r = r.withColumn("rule", F.when(renamed & cast, "rename_cast").when(renamed, "rename").when(cast, "cast").otherwise("keep"))
+    column = F.struct("column_name", "column_type")
+    table = r.groupBy("asset_id").agg(F.collect_set(column).alias("all"))
+    lack = r.groupBy("asset_id", "discovery_id").agg(F.collect_set(column).alias("has")).join(table, "asset_id")
+    lack = lack.select("asset_id", "discovery_id", F.inline(F.array_except("all", "has")))
+    none = F.lit(None).cast("string")
+    lack = lack.select("asset_id", "discovery_id", none.alias("source_name"), none.alias("source_type"), "column_name", "column_type", F.lit("default").alias("rule"))
+    return r.unionByName(lack)
 
 
 def _later(marks: DataFrame) -> DataFrame:
-    """(asset_id, tail, mid, end, end_type): names at the end of a task's rows of an asset to the names
-    at the end of all rows. Works on the marks of assets cut by a border only."""
+    """(asset_id, tail, mid, end, end_type): columns at the end of a task's rows of an asset to those of the
+    table. Works on the marks of assets cut by a border only."""
     cuts = marks.groupBy("asset_id").agg(F.count_if(F.col("what") == "tail").alias("t"), F.count_if(F.col("what") == "head").alias("h")).where("t > 0 and h > 0 and t + h > 2").select("asset_id")
     rows = marks.join(cuts, "asset_id", "left_semi").select("what", "asset_id", "at", "is_scan", "discovery_id", "old_name", "new_name", "tail")
 
@@ -371,29 +413,39 @@ def _later(marks: DataFrame) -> DataFrame:
         import pandas as pd
 
         pdf = pdf.assign(o=(pdf.what != "head").astype(int), s=(~pdf.is_scan).astype(int)).sort_values(["s", "at", "discovery_id", "o"], kind="stable")
-        out, later, nxt = [], {}, None  # later: names of the next head -> (end, type)
+        out, table, nxt, later, here, ahead = [], None, None, {}, {}, None  # later: names of the next head -> (column, type)
         for m in reversed(list(pdf.itertuples())):
+            made = json.loads(m.new_name)
+            own = made["table"]
             if m.what == "tail":
-                here = _load(m.old_name)
-                end = {n: (n, t) for n, (t, _) in here.items()} if nxt is None else before(here, steps(here, nxt), later)
-                tail_end = end
-                out += [(m.asset_id, m.tail, n, *v) for n, v in end.items()]
+                live = _load(m.old_name)
+                if table is None:
+                    table, here = Table(), {}
+                    table.columns = {c: tuple(v) for c, v in own.items()}
+                    here = {c: (c, v[0]) for c, v in own.items()}
+                else:
+                    here = before(live, steps(live, nxt), later, table)
+                    here |= {c: table.removed(v[1], v[0]) for c, v in own.items() if c not in live}
+                ahead = m.tail
+                out += [(m.asset_id, m.tail, c, *v) for c, v in here.items()]
             else:
-                names = json.loads(m.new_name)
-                nxt = _load(m.old_name)
-                open_ = m.tail == m.tail  # the run goes on to the end of its task
-                later = {n: tuple(tail_end.get(v[0], v)) if open_ and out and out[-1][1] == m.tail else tuple(v) for n, v in names.items()}
+                if table is None:
+                    table = Table()
+                    table.columns = {c: tuple(v) for c, v in own.items()}
+                nxt, goes_on = _load(m.old_name), m.tail == m.tail and m.tail == ahead
+                later = {n: here[v[0]] if goes_on else tuple(v) for n, v in made["names"].items()}
         return pd.DataFrame(out, columns=["asset_id", "tail", "mid", "end", "end_type"])
 
     return rows.groupBy("asset_id").applyInPandas(run, "asset_id string, tail bigint, mid string, end string, end_type string")
 
 
 def consistent_table(scans: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """(asset_id, column_name, column_type, n_files, n_keep, n_rename, n_cast): the columns of each
-    asset's one table, and how many files reach each by which rule."""
-    return routes(scans, assets).groupBy("asset_id", "column_name").agg(
-        F.max("column_type").alias("column_type"), F.count("*").alias("n_files"),
+    """(asset_id, column_name, column_type, n_files, n_keep, n_rename, n_cast, n_default): the columns of each
+    asset's one table, each of one type, how many files reach it by which rule, and how many lack it."""
+    return routes(scans, assets).groupBy("asset_id", "column_name", "column_type").agg(
+        F.count_if(F.col("rule") != "default").alias("n_files"),
         F.count_if(F.col("rule") == "keep").alias("n_keep"),
         F.count_if(F.col("rule").startswith("rename")).alias("n_rename"),
         F.count_if(F.col("rule").endswith("cast")).alias("n_cast"),
+        F.count_if(F.col("rule") == "default").alias("n_default"),
     )

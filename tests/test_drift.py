@@ -72,14 +72,38 @@ def brute(scans, assets):
             chain.append((0, s))
         for (_, x), (i, y) in zip(chain, chain[1:]):
             changes += [(a, i, *c) for c in drift.steps(x, y)]
-        end = {n: (n, t) for n, (t, _) in chain[-1][1].items()}
-        for k in range(len(chain) - 1, -1, -1):
-            i, s = chain[k]
-            if k < len(chain) - 1:
-                end = drift.before(s, drift.steps(s, chain[k + 1][1]), end)
+        # walk forward instead: follow each column of each file to where it ends
+        last = chain[-1][1]
+        ends, gone = {}, []
+        for k, (_, s) in enumerate(chain):
+            for n in s:
+                name, at = n, k
+                while at < len(chain) - 1:
+                    found = drift.steps(chain[at][1], chain[at + 1][1])
+                    if (name in {o for c, o, _ in found if c == "removed"}):
+                        break
+                    name = dict((o, w) for c, o, w in found if c == "renamed").get(name, name)
+                    at += 1
+                ends[k, n] = (at, name)
+                if at < len(chain) - 1 and (at, name) not in gone:
+                    gone.append((at, name))
+        taken, column = set(last), {}
+        for at, name in sorted(gone, key=lambda g: (-g[0], g[1])):
+            k, free = 0, name
+            while free in taken:
+                k += 1
+                free = f"{name}#{k}"
+            taken.add(free)
+            column[at, name] = (free, chain[at][1][name][0])
+        column |= {(len(chain) - 1, n): (n, t) for n, (t, _) in last.items()}
+        mine = []
+        for k, (i, s) in enumerate(chain):
             if i:
-                routes += [(a, i, n, t, *end[n]) for n, (t, _) in s.items()]
-    return sorted(changes), sorted(routes)
+                mine += [(a, i, n, t, *column[ends[k, n]]) for n, (t, _) in s.items()]
+        table = {r[4:6] for r in mine}
+        mine += [(a, i, None, None, *c) for i, s in chain if i for c in table - {r[4:6] for r in mine if r[1] == i}]
+        routes += mine
+    return sorted(changes), sorted(routes, key=str)
 
 
 def made(seed, n=160):
@@ -101,10 +125,26 @@ def test_against_brute_force_with_a_hot_asset(spark, seed):
     changes, routes = brute(scans, assets)
     got = drift.schema_changes(s, a).select("asset_id", "discovery_id", "change_kind", "old_name", "new_name").collect()
     assert sorted(map(tuple, got)) == changes
-    got = drift.routes(s, a).drop("rule").collect()
-    assert sorted(map(tuple, got)) == routes
+    got = drift.routes(s, a).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=str) == routes
+    for r in got:
+        moved, cast = r.source_name != r.column_name, r.source_type != r.column_type
+        assert r.rule == ("default" if r.source_name is None else "_".join(["rename"] * moved + ["cast"] * cast) or "keep")
     table = drift.consistent_table(s, a).collect()
-    assert {(r.asset_id, r.column_name) for r in table} == {(r[0], r[4]) for r in routes}
+    assert {(r.asset_id, r.column_name, r.column_type) for r in table} == {(r[0], *r[4:6]) for r in routes}
+    assert len({(r.asset_id, r.column_name) for r in table}) == len(table)
+    files = {a: len({r[1] for r in routes if r[0] == a}) for a in {r[0] for r in routes}}
+    assert all(r.n_files + r.n_default == files[r.asset_id] and r.n_files >= r.n_keep for r in table)
+
+
+def test_a_column_added_again_is_another_one(spark):
+    docs = [[col("x", "int"), col("y")], [col("y")], [col("x"), col("y")]]
+    s = spark.createDataFrame([(i + 1, "a", datetime(2025, 1, 1 + i), json.dumps(d), "", "") for i, d in enumerate(docs)], SCANS)
+    got = {(r.discovery_id, r.column_name): (r.source_type, r.column_type, r.rule) for r in drift.routes(s).collect()}
+    assert got[1, "x#1"] == ("int32", "int32", "rename") and got[3, "x"] == ("string", "string", "keep")
+    assert got[2, "x"] == (None, "string", "default") and got[2, "x#1"] == (None, "int32", "default") and len(got) == 9
+    t = {r.column_name: r for r in drift.consistent_table(s).collect()}
+    assert (t["x"].column_type, t["x"].n_files, t["x"].n_default) == ("string", 1, 2) and t["x#1"].column_type == "int32"
 
 
 def test_empty(spark):
