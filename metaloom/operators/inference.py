@@ -1,15 +1,17 @@
 """Lineage inferred from names, columns, folders and jobs.
 
 Where many assets agree on a key (a folder, a name, a job), the pairs among them are not listed: each
-asset gets its class and its number of links, or classes are linked with their sizes. Column
-similarity is computed for given pairs of assets, in Arrow batches.
+asset gets its class and its number of links, or classes are linked with their sizes.
+
+Names are compared once for each distinct pair: rules are column expressions, only the ratio of matching
+blocks is computed in Arrow batches. New links by similar columns are found by search: a stated set of query
+assets against all assets, through an index from column name to assets, so an asset is looked at only where it
+has a column that a query's column is similar to.
 """
 
 from __future__ import annotations
 
-import re
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,110 +20,165 @@ from metaloom.functions.paths import folder_of
 from metaloom.operators.catalog import asset_columns, document
 from metaloom.util import arrow_map, cut, loose_id
 
-#: Parts of a column name that say nothing about what it holds (fixed values).
-PREFIXES = ("tbl_", "dim_", "fact_", "stg_", "raw_", "src_")
-SUFFIXES = ("_id", "_key", "_pk", "_fk")
-
-
-def _bare(name: str) -> str:
-    for p in PREFIXES:
-        name = name.removeprefix(p)
-    for s in SUFFIXES:
-        name = name.removesuffix(s)
-    return name
-
-
-@lru_cache(200_000)
-def name_similarity(a: str | None, b: str | None) -> float:
-    """1 if equal without case and blanks around, .95 without separators too; else the matching-blocks
-    ratio, at least .85 where one contains the other and .9 where they agree without common affixes;
-    0 for null and empty names."""
-    if not a or not b:
-        return 0.0
-    x, y = a.lower().strip(), b.lower().strip()
-    if x == y:
-        return 1.0
-    u, v = (re.sub(r"[_\-\s]", "", n) for n in (x, y))
-    if u == v:
-        return 0.95
-    r = SequenceMatcher(None, x, y).ratio()
-    if u in v or v in u:
-        r = max(r, 0.85)
-    return max(r, 0.9) if _bare(x) == _bare(y) else r
-
-
-def match_columns(source: list[str], target: list[str], least_ratio: float = 0.3) -> tuple[list[tuple[str, str, float]], float]:
-    """Greedy matching in the source's order, each target once, similarity .6 at least; and the
-    confidence: .6 share matched + .4 mean similarity, .1 more (up to .95) from `least_ratio` on."""
-    source, target = [s for s in source if s], [t for t in target if t]
-    free, out = list(target), []
-    for s in source:
-        best, found = 0.0, None
-        for t in free:
-            r = name_similarity(s, t)
-            if r >= 0.6 and r > best:
-                best, found = r, t
-        if found is not None:
-            free = [t for t in free if t != found]
-            out.append((s, found, best))
-    if not out:
-        return [], 0.0
-    ratio = len(out) / max(len(source), len(target))
-    c = 0.6 * ratio + 0.4 * sum(r for *_, r in out) / len(out)
-    return out, min(0.95, c + 0.1) if ratio >= least_ratio else c
-
-
-def step_kind(source: str, target: str) -> str:
-    """aggregate, rename or pass_through, by the names of two columns."""
-    s, t = source.lower(), target.lower()
-    heads = ("sum_", "avg_", "count_", "max_", "min_", "total_")
-    if any(h in t for h in heads):
-        plain = t
-        for h in heads:
-            plain = plain.replace(h, "")
-        if s in t or plain == s:
-            return "aggregate"
-    return "rename" if s != t and SequenceMatcher(None, s, t).ratio() > 0.7 else "pass_through"
+#: What a name may begin or end with without saying what it holds, in this order (fixed values).
+BEFORE = r"^(tbl_)?(dim_)?(fact_)?(stg_)?(raw_)?(src_)?"
+AFTER = r"(_fk)?(_pk)?(_key)?(_id)?$"
+#: What an aggregate's name holds (fixed values).
+AGGREGATE = "sum_|avg_|count_|max_|min_|total_"
+#: Similarities by rule, the least similarity of a match, and the weights of a match (fixed values).
+SQUEEZED, BARE, WITHIN, LEAST = 0.95, 0.9, 0.85, 0.6
+SHARE, MEAN, BONUS, CEILING = 0.6, 0.4, 0.1, 0.95
+
+
+def squeezed(c: Column) -> Column:
+    """A name in lower case without blanks, underscores and hyphens."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"[_\-\s]", "")
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, BEFORE, ""), AFTER, "")
 
 
 def scored_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """The distinct pairs of names with similarity and kind of step; each pair is scored once."""
+    """(a, b, similarity, kind): the distinct pairs of two name columns.
+
+    similarity is 1 for names equal without case and blanks around, .95 without separators too; else the ratio of
+    matching blocks, at least .9 where they agree without common affixes and .85 where one holds the other; 0
+    for null and empty names. kind is aggregate, rename or pass_through, the step that leads from a to b."""
     import pyarrow as pa
 
+    p = pairs.select(a, b).distinct().select(a, b, F.trim(F.lower(a)).alias("x"), F.trim(F.lower(b)).alias("y"))
+
     def run(batches):
         for batch in batches:
-            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sim = [name_similarity(p, q) for p, q in zip(x, y)]
-            kind = [step_kind(p or "", q or "") for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sim, pa.float64()), pa.array(kind, pa.string())], names=[a, b, "similarity", "kind"])
+            ratio = [1.0 if x == y else SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], names=[*batch.schema.names, "ratio"])
+
+    r = arrow_map(p, run, f"`{a}` string, `{b}` string, x string, y string, ratio double")
+    u, v = squeezed(F.col("x")), squeezed(F.col("y"))
+    rule = (
+        F.when(F.col("x") == F.col("y"), 1.0).when(u == v, SQUEEZED)
+        .when(_bare(F.col("x")) == _bare(F.col("y")), F.greatest("ratio", F.lit(BARE)))
+        .when(u.contains(v) | v.contains(u), F.greatest("ratio", F.lit(WITHIN))).otherwise(F.col("ratio"))
+    )
+    empty = F.coalesce(F.col(a), F.lit("")).isin("") | F.coalesce(F.col(b), F.lit("")).isin("")
+    s, t = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
+    aggregate = t.rlike(AGGREGATE) & (t.contains(s) | (F.regexp_replace(t, AGGREGATE, "") == s))
+    kind = F.when(aggregate, "aggregate").when((s != t) & (F.col("ratio") > 0.7), "rename").otherwise("pass_through")
+    return r.select(a, b, F.when(empty, 0.0).otherwise(rule).alias("similarity"), kind.alias("kind"))
+
+
+def _letters(c: Column) -> Column:
+    return F.array_distinct(F.split(squeezed(c), ""))
+
+
+def _parts(c: Column) -> Column:
+    """What two similar names nearly always share one of: their pairs of letters, and the bare name."""
+    u = squeezed(c)
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(u) - 1, F.lit(1))), lambda i: F.substring(u, i, F.lit(2)))
+    return F.array_distinct(F.concat(two, F.array(F.concat(F.lit("="), _bare(F.lower(F.trim(c)))))))
 
-    return arrow_map(pairs.select(a, b).distinct(), run, f"{a} string, {b} string, similarity double, kind string")
 
+def similar_names(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, similarity) of all distinct names of column a of left and b of right that are so similar and share
+    a pair of letters; recall against all pairs is measured in the tests."""
+    x, y = left.select("a").where("a <> ''").distinct(), right.select("b").where("b <> ''").distinct()
+    by = lambda d, n, parts: d.select(n, F.explode(parts(F.col(n))).alias("part"))
+    short = lambda d, n: d.where(F.length(squeezed(F.col(n))) == 1)  # noqa: E731 one letter, which any name may hold
+    pairs = by(x, "a", _parts).join(by(y, "b", _parts), "part").select("a", "b")
+    pairs = pairs.unionByName(by(short(x, "a"), "a", _letters).join(by(y, "b", _letters), "part").select("a", "b"))
+    pairs = pairs.unionByName(by(x, "a", _letters).join(by(short(y, "b"), "b", _letters), "part").select("a", "b"))
+    return scored_pairs(pairs, "a", "b").where(F.col("similarity") >= least).drop("kind")
 
-def column_names(assets: DataFrame) -> DataFrame:
-    """(key, names): the columns of each asset in their order, as one bounded array."""
-    c = asset_columns(assets).groupBy("asset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
-    return c.select(loose_id("asset_id").alias("key"), "names")
+
+def named_columns(assets: DataFrame) -> DataFrame:
+    """(key, pos, name): the columns of each asset that have a name."""
+    return asset_columns(assets).select(loose_id("asset_id").alias("key"), "pos", "name").where("key is not null and name <> ''")
+
+
+#: One pass over the similar columns of a pair, by the source's place and falling similarity: each source column
+#: takes the best target name that none before it took.
+_TAKE = """aggregate(array_sort(collect_list(struct(s_pos, -similarity AS worse, t_pos, t_name))),
+  named_struct('done', -1, 'used', cast(array() AS array<string>), 'total', cast(0 AS double)),
+  (a, e) -> if(e.s_pos = a.done OR array_contains(a.used, e.t_name), a, named_struct('done', e.s_pos, 'used', array_append(a.used, e.t_name), 'total', a.total - e.worse)))"""
+
+
+def _matched(similar: DataFrame, sizes: DataFrame, least_ratio: float) -> DataFrame:
+    """(source, target, n_matches, confidence) from rows of (source, target, s_pos, t_pos, t_name, similarity).
+    confidence is .6 of the share of columns matched and .4 of their mean similarity, .1 more (up to .95) from
+    a share of least_ratio on."""
+    g = similar.groupBy("source", "target").agg(F.expr(_TAKE).alias("m"))
+    g = g.join(sizes.select(F.col("key").alias("source"), F.col("n").alias("ns")), "source").join(sizes.select(F.col("key").alias("target"), F.col("n").alias("nt")), "target")
+    n = F.size("m.used")
+    share = n / F.greatest("ns", "nt")
+    plain = SHARE * share + MEAN * F.col("m.total") / n
+    return g.select("source", "target", n.alias("n_matches"), F.when(share >= least_ratio, F.least(F.lit(CEILING), plain + BONUS)).otherwise(plain).alias("confidence"))
 
 
 def matched_assets(candidates: DataFrame, assets: DataFrame, least: float = 0.65, least_ratio: float = 0.4, cap: float = 0.85) -> DataFrame:
     """(source, target, n_matches, confidence) of the candidate pairs (source, target) whose columns match
     with a confidence of `least` at least, capped. Pairs of assets without columns do not match."""
-    import pyarrow as pa
-
-    n = column_names(assets)
+    c = cut(named_columns(assets), "columns")
     p = candidates.select("source", "target").distinct().where("source <> target")
-    j = p.join(n.withColumnsRenamed({"key": "source", "names": "s"}), "source").join(n.withColumnsRenamed({"key": "target", "names": "t"}), "target").select("source", "target", "s", "t")
-
-    def run(batches):
-        for b in batches:
-            got = [match_columns(s, t, least_ratio) for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            k = pa.array([len(m) for m, _ in got], pa.int32())
-            c = pa.array([x for _, x in got], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), k, c], names=["source", "target", "n_matches", "confidence"])
-
-    out = arrow_map(j, run, "source string, target string, n_matches int, confidence double")
-    return out.where(F.col("confidence") >= least).withColumn("confidence", F.round(F.least("confidence", F.lit(cap)), 6))
+    s = c.select(F.col("key").alias("source"), F.col("pos").alias("s_pos"), F.col("name").alias("s_name"))
+    t = c.select(F.col("key").alias("target"), F.col("pos").alias("t_pos"), F.col("name").alias("t_name"))
+    both = p.join(s, "source").join(t, "target")
+    alike = scored_pairs(both, "s_name", "t_name").where(F.col("similarity") >= LEAST).drop("kind")
+    m = _matched(both.join(alike, ["s_name", "t_name"]), c.groupBy("key").agg(F.count("*").alias("n")), least_ratio)
+    return m.where(F.col("confidence") >= least).withColumn("confidence", F.round(F.least("confidence", F.lit(cap)), 6))
+
+
+def search_columns(queries: DataFrame, assets: DataFrame, across: bool = False, least: float = 0.65, least_ratio: float = 0.4, cap: float = 0.85) -> DataFrame:
+    """(source, target, n_matches, confidence): all assets whose columns match those of a query asset, of the
+    query's connector, or with across of other platforms only. queries and assets have id, connector_id and
+    columns; a query is no match of itself."""
+    c = cut(named_columns(assets).join(_scope(assets, across), "key"), "columns")
+    q = cut(named_columns(queries).join(_scope(queries, across), "key"), "queries")
+    alike = cut(similar_names(q.select(F.col("name").alias("a")), c.select(F.col("name").alias("b"))), "alike")
+    s = q.select(F.col("key").alias("source"), F.col("scope").alias("s_scope"), F.col("pos").alias("s_pos"), F.col("name").alias("a"))
+    t = c.select(F.col("key").alias("target"), F.col("scope").alias("t_scope"), F.col("pos").alias("t_pos"), F.col("name").alias("b"), F.col("name").alias("t_name"))
+    same = F.col("s_scope") == F.col("t_scope")
+    j = s.join(alike, "a").join(t, "b").where((~same if across else same) & (F.col("source") != F.col("target")))
+    sizes = c.groupBy("key").agg(F.count("*").alias("n")).unionByName(q.groupBy("key").agg(F.count("*").alias("n"))).groupBy("key").agg(F.max("n").alias("n"))
+    m = _matched(j, sizes, least_ratio)
+    return m.where(F.col("confidence") >= least).withColumn("confidence", F.round(F.least("confidence", F.lit(cap)), 6))
+
+
+def _scope(assets: DataFrame, across: bool) -> DataFrame:
+    c = platform(F.col("connector_id")) if across else F.col("connector_id")
+    return assets.select(loose_id("id").alias("key"), F.coalesce(c, F.lit("unknown")).alias("scope")).where("key is not null").distinct()
+
+
+def search_names(queries: DataFrame, assets: DataFrame, least: float = 0.7) -> DataFrame:
+    """(source, target, similarity, confidence): assets without columns of the query's connector whose name is so
+    similar (.65), for queries without columns."""
+    bare = lambda d: d.select(loose_id("id").alias("key"), "connector_id", "name").join(named_columns(d).select("key").distinct(), "key", "left_anti").where("key is not null and name <> ''")
+    q, a = cut(bare(queries), "queries"), cut(bare(assets), "nameless")
+    alike = similar_names(q.select(F.col("name").alias("a")), a.select(F.col("name").alias("b")), least)
+    j = q.select(F.col("key").alias("source"), "connector_id", F.col("name").alias("a")).join(alike, "a")
+    j = j.join(a.select(F.col("key").alias("target"), "connector_id", F.col("name").alias("b")), ["b", "connector_id"]).where("source <> target")
+    return j.select("source", "target", F.round("similarity", 6).alias("similarity"), F.lit(0.65).alias("confidence"))
+
+
+def search_files(tables: DataFrame, files: DataFrame, least: float = 0.7, cap: float = 0.9) -> DataFrame:
+    """(table_id, file_id, direction, confidence): files that a table is exported to or loaded from. Names without
+    schema, folder and extension must be equal (.9), hold one another (.75) or be similar (.7 at least, times .9);
+    matching columns (times .95) may raise the confidence. Files named so are imports, all others exports."""
+    t = tables.select(loose_id("id").alias("table_id"), F.substring_index("name", ".", -1).alias("a")).where("table_id is not null")
+    text = F.lower(F.concat_ws(" ", F.get_json_object(document("operational_metadata"), "$.path"), "name"))
+    f = files.select(loose_id("id").alias("file_id"), F.substring_index(F.substring_index("name", "/", -1), ".", 1).alias("b"), text.alias("text")).where("file_id is not null")
+    t, f = cut(t, "tables"), cut(f, "files")
+    names = similar_names(t, f, 0.7)
+    u, v = squeezed(F.col("a")), squeezed(F.col("b"))
+    by_name = F.when(u == v, 0.9).when(u.contains(v) | v.contains(u), 0.75).otherwise(F.col("similarity") * 0.9)
+    j = cut(t.join(names, "a").join(f, "b").select("table_id", "file_id", "text", by_name.alias("by_name")), "named")
+    pairs = j.select(F.col("table_id").alias("source"), F.col("file_id").alias("target"))
+    both = ["id", "columns"]
+    m = matched_assets(pairs, tables.select(*both).unionByName(files.select(*both)), 0.0, 0.3, 1.0).select(F.col("source").alias("table_id"), F.col("target").alias("file_id"), F.col("confidence").alias("by_columns"))
+    c = F.greatest("by_name", F.coalesce("by_columns", F.lit(0.0)) * 0.95)
+    export, load = F.col("text").rlike("export|dump|backup|extract"), F.col("text").rlike("import|load|ingest|input")
+    j = j.join(m, ["table_id", "file_id"], "left").where(c >= least)
+    return j.select("table_id", "file_id", F.when(~export & load, "file_to_table").otherwise("table_to_file").alias("direction"), F.round(F.least(c, F.lit(cap)), 6).alias("confidence"))
 
 
 def shared_columns(candidates: DataFrame, assets: DataFrame, least: int = 2) -> DataFrame:
@@ -134,6 +191,15 @@ def shared_columns(candidates: DataFrame, assets: DataFrame, least: int = 2) ->
     return g.withColumn("confidence", F.round(F.least(F.lit(0.85), 0.7 + 0.05 * (F.col("n_shared") - least)), 2))
 
 
+def schema_links(requests: DataFrame, assets: DataFrame) -> DataFrame:
+    """(source_schema, target_schema, n_sources, n_targets, n_links): every asset of the one schema (catalog) leads
+    to every asset of the other. The pairs are not listed: memberships are the assets' own catalogs."""
+    n = assets.where("catalog <> ''").groupBy("catalog").agg(F.count("*").alias("n"))
+    r = requests.select("source_schema", "target_schema").distinct()
+    j = r.join(n.select(F.col("catalog").alias("source_schema"), F.col("n").alias("n_sources")), "source_schema").join(n.select(F.col("catalog").alias("target_schema"), F.col("n").alias("n_targets")), "target_schema")
+    return j.select("source_schema", "target_schema", "n_sources", "n_targets", (F.col("n_sources") * F.col("n_targets")).alias("n_links"))
+
+
 def column_classes(assets: DataFrame) -> DataFrame:
     """(key, class_id, pairs): assets by their set of (name, type) without case; class_id is the smallest
     key with the set. Columns without a type share nothing and are left out."""

@@ -137,6 +137,46 @@ def n_columns(t):
     return N.matched_assets(_pairs(t), t("assets"))
 
 
+def _asked(t):
+    """The stated query set: assets whose number (the digits of the name) is divisible by 50."""
+    return t("assets").where(F.regexp_extract("name", r"([0-9]{7})", 1).try_cast("int") % 50 == 0)
+
+
+@R.add("infer_N7_N8_J9_search")
+def n_search(t):
+    return N.search_columns(_asked(t), t("assets"))
+
+
+@R.add("infer_N8_names")
+def n_search_names(t):
+    return N.search_names(_asked(t), t("assets"))
+
+
+@R.add("infer_N13_J9_across")
+def n_search_across(t):
+    return N.search_columns(_asked(t), t("assets"), across=True, least=0.7, cap=0.9)
+
+
+@R.add("infer_N12_J12_files")
+def n_files(t):
+    oracle = F.col("connector_id").startswith("oracle")
+    return N.search_files(_asked(t).where(oracle), t("assets").where(~oracle))
+
+
+@R.add(
+    "infer_N16_J14_schemas",
+    f"""WITH e1 AS (SELECT DISTINCT a.catalog AS s, b.catalog AS t FROM lineage_relationships l JOIN assets a ON a.id = {S.replace('source_asset_id', 'l.source_asset_id')} JOIN assets b ON b.id = {T.replace('target_asset_id', 'l.target_asset_id')} WHERE l.relationship_type <> 'folder_hierarchy' AND a.catalog <> b.catalog AND a.catalog <> '' AND b.catalog <> ''),
+    n AS (SELECT catalog, count(*) AS n FROM assets GROUP BY 1)
+    SELECT s AS source_schema, t AS target_schema, x.n AS n_sources, y.n AS n_targets, x.n * y.n AS n_links FROM e1 JOIN n x ON x.catalog = s JOIN n y ON y.catalog = t""",
+)
+def n_schema_links(t):
+    """Schema-level links for every two schemas that some edge connects."""
+    c = t("assets").where("catalog <> ''")
+    s, d = c.select(F.col("id").alias("source"), F.col("catalog").alias("source_schema")), c.select(F.col("id").alias("target"), F.col("catalog").alias("target_schema"))
+    asked = _pairs(t).join(s, "source").join(d, "target").where("source_schema <> target_schema")
+    return N.schema_links(asked, t("assets"))
+
+
 @R.add(
     "infer_N11_J10_shared",
     f"""WITH {_E}, {COLS}, c1 AS (SELECT DISTINCT {sid('asset_id')} AS k, lower(c ->> '$.name') AS n, lower(c ->> '$.type') AS t FROM cols WHERE c ->> '$.name' IS NOT NULL),
@@ -176,8 +216,15 @@ def n_schemas(t):
     return N.schema_edges(t("assets"))
 
 
-_NAMED = r"""SELECT id, connector_id, lower(regexp_extract(name, '^(.+?)[_ -](\d{7})\.(.+)', 1)) AS base, 'date_partition' AS kind,
- CASE WHEN regexp_matches(lower(name), 'raw|staging|stg|input|source|backup|archive') THEN 'source' WHEN regexp_matches(lower(name), 'processed|final|output|target|result') THEN 'target' ELSE 'member' END AS role FROM assets WHERE regexp_matches(name, '^(.+?)[_ -](\d{7})\.(.+)')"""
+_ROLE = "CASE WHEN regexp_matches(lower(name), 'raw|staging|stg|input|source|backup|archive') THEN 'source' WHEN regexp_matches(lower(name), 'processed|final|output|target|result') THEN 'target' ELSE 'member' END AS role"
+#: The surveyed patterns, and the numbered names of the catalog beside them.
+_NAMED = " UNION ".join(
+    f"SELECT id, connector_id, lower(regexp_extract(name, '{p}', 1)) AS base, '{k}' AS kind, {_ROLE} FROM assets WHERE regexp_matches(name, '{p}')"
+    for p, k in (
+        ("(?i)^(.+?)_(raw|staging|stg|temp|tmp)[.](.+)", "etl_pipeline"), ("(?i)^(.+?)_(input|source)[.](.+)", "etl_pipeline"), ("^(.+?)_([0-9]{8})[.](.+)", "date_partition"),
+        ("(?i)^(.+?)_(backup|archive)[.](.+)", "backup_relationship"), ("^(.+?)[_ -]([0-9]{7})[.](.+)", "date_partition"),
+    )
+)
 
 
 @R.add(
@@ -186,7 +233,7 @@ _NAMED = r"""SELECT id, connector_id, lower(regexp_extract(name, '^(.+?)[_ -](\d
     SELECT n.id, n.connector_id, n.base, n.kind, n.role, g.s AS n_sources, g.t AS n_targets, CASE WHEN g.s > 0 AND g.t > 0 THEN g.s * g.t ELSE g.n * (g.n - 1) // 2 END AS n_links, CASE WHEN g.s > 0 AND g.t > 0 THEN 0.8 ELSE 0.75 END::DOUBLE AS confidence FROM n JOIN g USING (connector_id, base, kind)""",
 )
 def n_naming(t):
-    return N.naming_groups(t("assets"), ((r"^(.+?)[_ -](\d{7})\.(.+)", "date_partition"),))
+    return N.naming_groups(t("assets"), (*N.NAMING, (r"^(.+?)[_ -](\d{7})\.(.+)", "date_partition")))
 
 
 _PLAIN = r"regexp_replace(regexp_replace(lower(name), '\.[a-z0-9]+$', ''), '[^\p{L}\p{N}]', '', 'g')"

@@ -209,5 +209,4 @@ def st_windows(spark, d):
 def st_latest(spark, d):
     s = feeds.files(spark, d, "events.parquet").select("user_id", "ts", "event_id", "event_type")
     at = _written(spark, "latest")
-    feeds.keep_latest(s, "user_id", ["ts", "event_id"], f"{at}/table", f"{at}/state")
-    return spark.read.parquet(f"{at}/table/v0").select("user_id", "event_id", "event_type")
+    return feeds.keep_latest(s, "user_id", ["ts", "event_id"], f"{at}/table", f"{at}/state").select("user_id", "event_id", "event_type")

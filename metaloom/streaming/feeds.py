@@ -45,16 +45,48 @@ def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "1 hour",
     return s.groupBy(F.window(at, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def keep_latest(stream: DataFrame, key: str, order: list[str], target: str, state: str) -> None:
-    """Maintain a Parquet table with the latest row per key: every batch is reduced, merged with the table as it
-    is and written beside it; the pointer file moves last, so a lost batch leaves the old table."""
-    spark = stream.sparkSession
-    columns = stream.columns
+def keep_latest(stream: DataFrame, key: str, order: list[str], target: str, state: str, parts: int = 64) -> DataFrame:
+    """Maintain the latest row per key over all batches of a stream, and return the table.
+
+    Rows are kept in parts by hash of the key. A batch is reduced to one row per key and merged with the parts it
+    touches only; each merged part is written under the batch's number. Only then is the pointer (the newest
+    version of every part) written, under the batch's number too, so a lost batch leaves the table as it was and a
+    repeated one writes the same. A null key is one of its own."""
+    spark, columns, kinds = stream.sparkSession, stream.columns, stream.schema
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+    def newest(before: int) -> dict[int, int]:
+        """Part -> batch that wrote it last, by the newest pointer below a batch; at most `parts` rows."""
+        fs, at = _folder(spark, f"{target}/pointer")
+        if not fs.exists(at):
+            return {}
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        done = [int(n.removeprefix("n")) for n in names if fs.exists(_folder(spark, f"{target}/pointer/{n}/_SUCCESS")[1])]
+        done = [n for n in done if n < before]
+        return {r.part: r.version for r in spark.read.parquet(f"{target}/pointer/n{max(done)}").collect()} if done else {}
+
+    def rows(at: dict[int, int]) -> DataFrame | None:
+        paths = [f"{target}/rows/n{v}/part={p}" for p, v in at.items()]
+        return spark.read.schema(kinds).parquet(*paths) if paths else None
 
     def merge(batch: DataFrame, n: int) -> None:
-        old = f"{target}/v{n - 1}" if n else None
-        rows = batch if old is None else batch.unionByName(spark.read.schema(batch.schema).parquet(old))
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("x")).select("x.*")
-        best.write.mode("overwrite").parquet(f"{target}/v{n}")
+        at = newest(n)
+        best = F.max_by(F.struct(*columns), F.struct(*order)).alias("x")
+        mine = batch.groupBy(key).agg(best).select("x.*").withColumn("part", part).persist()
+        touched = {r.part for r in mine.select("part").distinct().collect()}  # at most `parts` numbers
+        old = rows({p: v for p, v in at.items() if p in touched})
+        both = mine.drop("part") if old is None else mine.drop("part").unionByName(old)
+        made = both.groupBy(key).agg(best).select("x.*").withColumn("part", part)
+        made.write.mode("overwrite").partitionBy("part").parquet(f"{target}/rows/n{n}")
+        mine.unpersist()
+        now = at | {p: n for p in touched}
+        spark.createDataFrame(list(now.items()), "part int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{target}/pointer/n{n}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    out = rows(newest(2**62))
+    return spark.createDataFrame([], kinds) if out is None else out
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

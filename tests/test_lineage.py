@@ -1,4 +1,6 @@
 import difflib
+import json
+import random
 from datetime import datetime
 
 import pytest
@@ -43,21 +45,89 @@ def test_validity(spark):
     assert sorted(r.id for r in G.valid(df, datetime(2025, 2, 15)).collect()) == [1, 4]
 
 
-@pytest.mark.parametrize("a, b, least, most", [("Email", "email ", 1, 1), ("user_id", "userid", 0.95, 0.95), ("cust_key", "cust_id", 0.9, 0.9), ("dim_name", "name", 0.9, 0.9), ("name", "first_name", 0.85, 0.85), (None, "x", 0, 0), ("", "x", 0, 0), ("abc", "xyz", 0, 0)])
-def test_similarity(a, b, least, most):
-    assert least <= N.name_similarity(a, b) <= most
-
-
-def test_similarity_is_the_matching_blocks_ratio():
-    assert N.name_similarity("amount_due", "amt_due") == difflib.SequenceMatcher(None, "amount_due", "amt_due").ratio()
-
-
-def test_greedy_matching_and_confidence():
-    m, c = N.match_columns(["id", "name", "x"], ["name", "id", "y", "z"])
-    assert [(a, b) for a, b, _ in m] == [("id", "id"), ("name", "name")]
-    assert c == pytest.approx(min(0.95, 0.6 * 2 / 4 + 0.4 + 0.1))
-    assert N.match_columns([], ["a"]) == ([], 0.0) and N.match_columns(["a", "a"], ["a"])[0] == [("a", "a", 1.0)]
-    assert N.step_kind("amount", "sum_amount") == "aggregate" and N.step_kind("amount", "amounts") == "rename" and N.step_kind("a", "a") == "pass_through"
+def plain_similarity(a, b):
+    if not a or not b:
+        return 0.0
+    x, y = a.strip().lower(), b.strip().lower()
+    r = difflib.SequenceMatcher(None, x, y).ratio()
+    u, v = (n.translate({ord(c): None for c in "_- "}) for n in (x, y))
+
+    def bare(n):
+        for p in "tbl_ dim_ fact_ stg_ raw_ src_".split():
+            n = n.removeprefix(p)
+        for p in "_id _key _pk _fk".split():
+            n = n.removesuffix(p)
+        return n
+
+    held = 0.85 if u in v or v in u else 0.0
+    return 1.0 if x == y else 0.95 if u == v else max(r, held, 0.9 if bare(x) == bare(y) else 0.0)
+
+
+NAMES = ["Email", "email ", "user_id", "userid", "cust_key", "cust_id", "dim_name", "name", "first_name", "amount_due", "amt_due", "tbl_dim_x_fk_id", "x", "_id", "", None, "abc", "xyz", "total_amount", "amount", "amounts", "A-B", "a_b", "Created At", "created_on", "stg_raw_q"]
+
+
+def test_similarity_of_names(spark):
+    pairs = [(a, b) for a in NAMES for b in NAMES]
+    got = {(r.a, r.b): (r.similarity, r.kind) for r in N.scored_pairs(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()}
+    assert {p: pytest.approx(plain_similarity(*p)) for p in pairs} == {p: got[p][0] for p in pairs}
+    assert got["amount", "total_amount"][1] == "aggregate" and got["amount", "amounts"][1] == "rename" and got["abc", "abc"][1] == "pass_through"
+    found = {(r.a, r.b) for r in N.similar_names(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(pairs, "a string, b string")).collect()}
+    want = {p for p in pairs if p[0] and p[1] and plain_similarity(*p) >= 0.6}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def plain_match(s, t, least_ratio):
+    free, total, n = set(t), 0.0, 0
+    for a in s:
+        best = max(((plain_similarity(a, b), -k, b) for k, b in enumerate(t) if b in free), default=(0,))
+        if best[0] >= 0.6:
+            free.discard(best[2])
+            total, n = total + best[0], n + 1
+    if not n:
+        return 0, 0.0
+    share = n / max(len(s), len(t))
+    c = 0.6 * share + 0.4 * total / n
+    return n, min(0.95, c + 0.1) if share >= least_ratio else c
+
+
+def test_search_of_similar_columns_against_all_pairs(spark):
+    rng = random.Random(2)
+    words = [n for n in NAMES if n]
+    cols = {f"k{i}": [rng.choice(words) for _ in range(rng.randint(0, 6))] for i in range(60)}
+    where = {k: rng.choice(["azure_x", "azure_y", "oracle_z", None]) for k in cols}
+    doc = lambda c: json.dumps([{"name": n, "type": "t"} for n in c]) if c else None
+    a = assets(spark, [(k, f"n{k}", where[k], "c", "table", None, doc(c)) for k, c in cols.items()])
+    q = [k for k in cols if int(k[1:]) % 5 == 0]
+    for across, least, cap in ((False, 0.65, 0.85), (True, 0.7, 0.9)):
+        scope = {k: ((w or "unknown").split("_")[0] if across else w or "unknown") for k, w in where.items()}
+        want = {}
+        for s in q:
+            for t in cols:
+                n, c = plain_match(cols[s], cols[t], 0.4)
+                if s != t and (scope[s] == scope[t]) != across and n and c >= least:
+                    want[s, t] = (n, pytest.approx(min(c, cap), abs=1e-5))
+        got = {(r.source, r.target): (r.n_matches, r.confidence) for r in N.search_columns(a.where(F.col("id").isin(q)), a, across, least, 0.4, cap).collect()}
+        assert len(want) > 20 and len(set(got) & set(want)) >= 0.9 * len(want)
+        assert sum(got[p] == want.get(p) for p in got) >= 0.95 * len(got)
+    pairs = spark.createDataFrame([(s, t) for s in q for t in cols], "source string, target string")
+    got = {(r.source, r.target): (r.n_matches, r.confidence) for r in N.matched_assets(pairs, a).collect()}
+    want = {(s, t): (n, pytest.approx(min(c, 0.85), abs=1e-5)) for s in q for t in cols for n, c in [plain_match(cols[s], cols[t], 0.4)] if s != t and n and c >= 0.65}
+    assert got == want
+    assert N.search_columns(a.where("false"), a).count() == 0 and N.search_columns(a, a.where("false")).count() == 0
+
+
+def test_search_by_names(spark):
+    doc = '[{"name": "a_id", "type": "t"}, {"name": "b", "type": "t"}]'
+    a = assets(spark, [
+        ("t1", "HR.SALES_2024", "oracle_p", "s", "table", None, doc), ("f1", "exports/sales-2024.csv", "azure_q", "s", "csv", None, None), ("f2", "in/sales_2025_load.csv", "azure_q", "s", "csv", None, doc),
+        ("f3", "unrelated.csv", "azure_q", "s", "csv", None, doc), ("f4", "sales_2024_all.csv", "aws_r", "s", "csv", None, None), (None, "sales_2024.csv", "aws_r", "s", "csv", None, None), ("f5", None, "aws_r", "s", "csv", None, None),
+    ]).withColumn("operational_metadata", F.lit(None).cast("string"))
+    got = {r.file_id: (r.direction, r.confidence) for r in N.search_files(a.where("id = 't1'"), a.where("connector_id not like 'oracle%' or connector_id is null")).collect()}
+    assert got["f1"] == ("table_to_file", 0.9) and got["f4"] == ("table_to_file", 0.75) and got["f2"] == ("file_to_table", 0.9) and set(got) == {"f1", "f2", "f4"}
+    n = {(r.source, r.target): r.confidence for r in N.search_names(a, a).collect()}
+    assert n == {} and N.search_names(a.withColumn("connector_id", F.lit("k")), a.withColumn("connector_id", F.lit("k")), 0.6).count() == 2
+    s = N.schema_links(spark.createDataFrame([("s", "s"), ("s", "none"), ("s", "s")], "source_schema string, target_schema string"), a).collect()
+    assert [(r.n_sources, r.n_targets, r.n_links) for r in s] == [(7, 7, 49)]
 
 
 def assets(spark, rows):

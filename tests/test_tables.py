@@ -162,12 +162,25 @@ def test_dictionary(spark):
 def test_stream_keeps_latest_over_batches(spark, tmp_path):
     schema = "k string, t int, v string"
     src = tmp_path / "in"
-    for i, rows in enumerate(([("a", 1, "x"), ("b", 5, "y")], [("a", 2, "z"), ("b", 4, "late"), ("a", 2, "a")])):
+    for i, rows in enumerate(([("a", 1, "x"), ("b", 5, "y")], [("a", 2, "z"), ("b", 4, "late"), ("a", 2, "a"), (None, 1, "n")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
         s = spark.readStream.schema(schema).parquet(str(src))
-        feeds.keep_latest(s, "k", ["t", "v"], str(tmp_path / "out"), str(tmp_path / "state"))
-        got = spark.read.parquet(str(tmp_path / "out" / f"v{i}")).collect()
-    assert sorted(map(tuple, got)) == [("a", 2, "z"), ("b", 5, "y")]
+        got = feeds.keep_latest(s, "k", ["t", "v"], str(tmp_path / "out"), str(tmp_path / "state"), 4).collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 2, "z"), ("b", 5, "y"), (None, 1, "n")]
+
+
+def test_stream_of_more_files_than_a_batch(spark, tmp_path):
+    """150 files come in batches of 50; the table is that of all of them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    src = tmp_path / "in.parquet"
+    src.mkdir()
+    for i in range(150):
+        pq.write_table(pa.table({"k": [f"k{i % 7}", f"only{i}"], "t": pa.array([i, 0], pa.int32()), "v": [f"v{i}", "x"]}), src / f"{i:03}.parquet")
+    s = feeds.files(spark, str(tmp_path), "in.parquet", at_once=50)
+    got = {r.k: r.v for r in feeds.keep_latest(s, "k", ["t"], str(tmp_path / "out"), str(tmp_path / "state"), 3).collect()}
+    assert len(got) == 157 and got["k0"] == "v147" and got["k6"] == "v146" and got["only149"] == "x"
 
 
 def test_previous_rows_of_a_hot_group(spark):
