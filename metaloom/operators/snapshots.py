@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metaloom.util import loose_id, strip
+from metaloom.util import cut, loose_id, strip
 
 
 def norm_path(c):
@@ -26,12 +26,22 @@ def norm_hash(c):
     return F.coalesce(F.lower(F.regexp_replace(c, r"\s+", "")), F.lit(""))
 
 
+def _deliveries(rows: DataFrame) -> DataFrame:
+    """(snapshot_no, delivery_no): the delivery that counts, a row a snapshot, found in one pass over two columns."""
+    r = rows.select("snapshot_no", F.coalesce("delivery_no", F.lit(-1)).alias("delivery_no")).where("snapshot_no is not null")
+    return r.groupBy("snapshot_no").agg(F.max("delivery_no").alias("delivery_no"))
+
+
 def snapshot_states(rows: DataFrame) -> DataFrame:
     """(snapshot_no, asset_id, path, hash, loaded_at): what each snapshot holds.
 
     Of a snapshot only its highest delivery counts, a null delivery number being the lowest. Within
     it the row with the latest loaded_at counts for an id; equal times are settled by the larger
     path, then hash. Rows without an id or a snapshot number are no member of any snapshot."""
+    return _states(rows, _deliveries(rows))
+
+
+def _states(rows: DataFrame, last: DataFrame) -> DataFrame:
     r = rows.select(
         F.col("snapshot_no"),
         F.coalesce("delivery_no", F.lit(-1)).alias("delivery_no"),
@@ -42,7 +52,6 @@ def snapshot_states(rows: DataFrame) -> DataFrame:
             norm_hash(F.col("schema_hash")).alias("hash"),
         ).alias("v"),
     ).where("snapshot_no is not null")
-    last = r.groupBy("snapshot_no").agg(F.max("delivery_no").alias("delivery_no"))
     kept = r.where("asset_id is not null").join(last, ["snapshot_no", "delivery_no"])
     return (
         kept.groupBy("snapshot_no", "asset_id")
@@ -56,17 +65,14 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
 
     A snapshot whose predecessor was never delivered yields no rows, for there is nothing to compare
     it with. An empty table gives no rows. Other columns of the input are ignored."""
-    known = rows.where("snapshot_no is not null").groupBy("snapshot_no").agg(F.lit(1).alias("one"))
+    known = cut(_deliveries(rows), "deliveries")  # a row a snapshot, read three times below
     prior = known.select((F.col("snapshot_no") + 1).alias("snapshot_no"), F.lit(True).alias("has_prior"))
     after = known.select((F.col("snapshot_no") - 1).alias("snapshot_no"), F.lit(True).alias("has_next"))
-    s = (
-        snapshot_states(rows)
-        .join(prior, "snapshot_no", "left")
-        .join(after, "snapshot_no", "left")
-    )
+    s = _states(rows, known).join(prior, "snapshot_no", "left").join(after, "snapshot_no", "left")
     w = Window.partitionBy("asset_id").orderBy("snapshot_no")
-    # only whether path or hash differ matters from here on, so a digest travels instead of both
-    s = s.withColumn("content", F.unhex(F.md5(F.concat_ws("\u0001", "path", "hash"))))
+    # only whether path or hash differ matters from here on, so 128 bits travel instead of both; the path's
+    # length tells where it ends, so no two pairs are written alike
+    s = s.withColumn("content", F.unhex(F.md5(F.concat_ws(":", F.length("path").cast("string"), "path", "hash"))))
     s = s.select(
         "snapshot_no", "asset_id", "has_prior", "has_next", "content",
         F.lag(F.struct("snapshot_no", "content")).over(w).alias("was"),
