@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Type and rule (fixed values). In a rule | separates alternatives, & what must all hold; a word is
-#: looked for anywhere in the lower-cased name, ~word in the name without separators, !word must be
-#: absent, <n asks for a name shorter than n.
+class Case(NamedTuple):
+    """One way for a rule to hold of a lower-cased name."""
+
+    words: tuple[str, ...] = ()  # all must occur in the name
+    without: str | None = None  # must not occur
+    squeezed: str | None = None  # must occur in the name without separators
+    shorter: int | None = None  # the name is shorter than that
+
+
+def has(*words: str, without: str | None = None, shorter: int | None = None) -> Case:
+    return Case(words, without, None, shorter)
+
+
+def squeezed(word: str) -> Case:
+    return Case(squeezed=word)
+
+
+#: Type and its cases, one of which must hold (fixed values).
 NAME_RULES = (
-    ("Email", "email | mail & !name | correo"),
-    ("PhoneNumber", "phone | tel | mobile | cell & !name"),
-    ("SSN", "ssn | social & security | national & id | tin"),
-    ("CreditCard", "credit & card | card & number | ccn | cvv | cvc"),
-    ("PersonName", "name | reviewed & by | created & by | updated & by | owner | author"),
-    ("Address", "address | street | city | zip | postal | state | country | addr | province | county"),
-    ("DateOfBirth", "dob | birth & date"),
-    ("IPAddress", "ip"),
-    ("AccountNumber", "account & number | account & id | accountnum | accnum | account & code | ~accountid"),
-    ("CustomerID", "customer & id | cust & id | ~customerid"),
-    ("TransactionID", "transaction & id | ~transactionid | txn_id | ~txnid"),
-    ("UserID", "user & id | ~userid | person & id & !name"),
-    ("PassportNumber", "passport"),
-    ("DriverLicense", "driver & license | driving & license | dl & <10 | ~driverlic"),
-    ("BankAccount", "bank & account | routing & number | iban | swift"),
-    ("MedicalRecord", "medical & record | patient & id | diagnosis"),
-    ("LicensePlate", "license & plate | plate & number | vehicle & registration"),
-    ("Password", "password | passwd | pwd | secret | api & key | token"),
-    ("Gender", "gender | sex"),
-    ("Race", "race | ethnicity"),
-    ("Religion", "religion | religious"),
-    ("Biometric", "fingerprint | iris | retina | biometric"),
+    ("Email", (has("email"), has("mail", without="name"), has("correo"),)),
+    ("PhoneNumber", (has("phone"), has("tel"), has("mobile"), has("cell", without="name"),)),
+    ("SSN", (has("ssn"), has("social", "security"), has("national", "id"), has("tin"),)),
+    ("CreditCard", (has("credit", "card"), has("card", "number"), has("ccn"), has("cvv"), has("cvc"),)),
+    ("PersonName", (has("name"), has("reviewed", "by"), has("created", "by"), has("updated", "by"), has("owner"), has("author"),)),
+    ("Address", (has("address"), has("street"), has("city"), has("zip"), has("postal"), has("state"), has("country"), has("addr"), has("province"), has("county"),)),
+    ("DateOfBirth", (has("dob"), has("birth", "date"),)),
+    ("IPAddress", (has("ip"),)),
+    ("AccountNumber", (has("account", "number"), has("account", "id"), has("accountnum"), has("accnum"), has("account", "code"), squeezed("accountid"),)),
+    ("CustomerID", (has("customer", "id"), has("cust", "id"), squeezed("customerid"),)),
+    ("TransactionID", (has("transaction", "id"), squeezed("transactionid"), has("txn_id"), squeezed("txnid"),)),
+    ("UserID", (has("user", "id"), squeezed("userid"), has("person", "id", without="name"),)),
+    ("PassportNumber", (has("passport"),)),
+    ("DriverLicense", (has("driver", "license"), has("driving", "license"), has("dl", shorter=10), squeezed("driverlic"),)),
+    ("BankAccount", (has("bank", "account"), has("routing", "number"), has("iban"), has("swift"),)),
+    ("MedicalRecord", (has("medical", "record"), has("patient", "id"), has("diagnosis"),)),
+    ("LicensePlate", (has("license", "plate"), has("plate", "number"), has("vehicle", "registration"),)),
+    ("Password", (has("password"), has("passwd"), has("pwd"), has("secret"), has("api", "key"), has("token"),)),
+    ("Gender", (has("gender"), has("sex"),)),
+    ("Race", (has("race"), has("ethnicity"),)),
+    ("Religion", (has("religion"), has("religious"),)),
+    ("Biometric", (has("fingerprint"), has("iris"), has("retina"), has("biometric"),)),
 )
 #: Ids of things, not of people, and the types that make the generic one needless (fixed values).
 NOT_PERSONAL = ("alert_id", "event_id", "log_id", "session_id", "request_id", "job_id", "task_id", "batch_id", "process_id", "thread_id")
@@ -55,58 +74,35 @@ LISTING_WORDS = (
 )
 #: Rule, sensitivity and tags of a personal column; the first rule that holds counts (fixed values).
 TAG_RULES = (
-    ("ssn | social", 5, "SSN CRITICAL_PII ENCRYPT_AT_REST ENCRYPT_IN_TRANSIT"),
-    ("credit | card | payment", 5, "FINANCIAL PAYMENT_INFO PCI_DSS ENCRYPT_AT_REST ENCRYPT_IN_TRANSIT"),
-    ("password | secret | token", 5, "CREDENTIALS AUTH_TOKEN HASH_AT_REST NEVER_LOG"),
-    ("bank | routing | account", 5, "BANKING_INFO FINANCIAL ENCRYPT_AT_REST"),
-    ("date & birth | date & dob", 4, "DATE_OF_BIRTH PERSONAL_INFO ENCRYPT_AT_REST"),
-    ("address | street | zipcode | postal", 4, "ADDRESS LOCATION PERSONAL_INFO ENCRYPT_AT_REST"),
-    ("passport | license | national_id", 5, "GOVERNMENT_ID CRITICAL_PII ENCRYPT_AT_REST ENCRYPT_IN_TRANSIT"),
-    ("email | e_mail", 3, "EMAIL PERSONAL_INFO MASK_IN_LOGS"),
-    ("phone | mobile | cell", 3, "PHONE PERSONAL_INFO MASK_IN_LOGS"),
-    ("name & first | name & last | name & full", 2, "NAME PERSONAL_INFO MASK_IN_LOGS"),
-    ("id & user | id & customer | id & person", 2, "IDENTIFIER PERSONAL_INFO"),
+    ((has("ssn"), has("social"),), 5, "SSN CRITICAL_PII ENCRYPT_AT_REST ENCRYPT_IN_TRANSIT"),
+    ((has("credit"), has("card"), has("payment"),), 5, "FINANCIAL PAYMENT_INFO PCI_DSS ENCRYPT_AT_REST ENCRYPT_IN_TRANSIT"),
+    ((has("password"), has("secret"), has("token"),), 5, "CREDENTIALS AUTH_TOKEN HASH_AT_REST NEVER_LOG"),
+    ((has("bank"), has("routing"), has("account"),), 5, "BANKING_INFO FINANCIAL ENCRYPT_AT_REST"),
+    ((has("date", "birth"), has("date", "dob"),), 4, "DATE_OF_BIRTH PERSONAL_INFO ENCRYPT_AT_REST"),
+    ((has("address"), has("street"), has("zipcode"), has("postal"),), 4, "ADDRESS LOCATION PERSONAL_INFO ENCRYPT_AT_REST"),
+    ((has("passport"), has("license"), has("national_id"),), 5, "GOVERNMENT_ID CRITICAL_PII ENCRYPT_AT_REST ENCRYPT_IN_TRANSIT"),
+    ((has("email"), has("e_mail"),), 3, "EMAIL PERSONAL_INFO MASK_IN_LOGS"),
+    ((has("phone"), has("mobile"), has("cell"),), 3, "PHONE PERSONAL_INFO MASK_IN_LOGS"),
+    ((has("name", "first"), has("name", "last"), has("name", "full"),), 2, "NAME PERSONAL_INFO MASK_IN_LOGS"),
+    ((has("id", "user"), has("id", "customer"), has("id", "person"),), 2, "IDENTIFIER PERSONAL_INFO"),
 )
 
 
-def _cases(rule: str):
-    return [[w.strip() for w in alt.split("&")] for alt in rule.split("|")]
-
-
-def holds(rule: str, name: Column) -> Column:
-    """The rule as an expression over a lower-cased name."""
+def holds(cases: tuple[Case, ...], name: Column) -> Column:
+    """Whether one of the cases holds, as an expression over a lower-cased name."""
     clean = F.regexp_replace(name, r"[_\-\s]", "")
 
-    def test(w: str) -> Column:
-        if w[0] == "!":
-            return ~name.contains(w[1:])
-        if w[0] == "~":
-            return clean.contains(w[1:])
-        if w[0] == "<":
-            return F.length(name) < int(w[1:])
-        return name.contains(w)
-
-    out = None
-    for case in _cases(rule):
-        both = None
-        for w in case:
-            both = test(w) if both is None else both & test(w)
-        out = both if out is None else out | both
-    return out
-
-
-def holds_sql(rule: str, name: str) -> str:
-    """The same rule as SQL."""
-    clean = f"regexp_replace({name}, '[_\\-\\s]', '', 'g')"
-
-    def test(w: str) -> str:
-        if w[0] == "!":
-            return f"NOT contains({name}, '{w[1:]}')"
-        if w[0] == "~":
-            return f"contains({clean}, '{w[1:]}')"
-        return f"length({name}) < {w[1:]}" if w[0] == "<" else f"contains({name}, '{w}')"
+    def one(c: Case) -> Column:
+        parts = [name.contains(w) for w in c.words]
+        if c.without is not None:
+            parts.append(~name.contains(c.without))
+        if c.squeezed is not None:
+            parts.append(clean.contains(c.squeezed))
+        if c.shorter is not None:
+            parts.append(F.length(name) < c.shorter)
+        return reduce(Column.__and__, parts)
 
-    return "(" + " OR ".join("(" + " AND ".join(map(test, case)) + ")" for case in _cases(rule)) + ")"
+    return reduce(Column.__or__, map(one, cases))
 
 
 def types_by_name(name: Column) -> Column:
@@ -114,9 +110,7 @@ def types_by_name(name: Column) -> Column:
     low = F.lower(F.coalesce(name, F.lit("")))
     clean = F.regexp_replace(low, r"[_\-\s]", "")
     rules = dict(NAME_RULES)
-    specific = None
-    for t in SPECIFIC_IDS:
-        specific = holds(rules[t], low) if specific is None else specific | holds(rules[t], low)
+    specific = reduce(Column.__or__, (holds(rules[t], low) for t in SPECIFIC_IDS))
     generic = (low.endswith("_id") | clean.endswith("id")) & ~low.isin(*NOT_PERSONAL) & ~specific
     found = [F.when(holds(r, low), F.lit(t)) for t, r in NAME_RULES] + [F.when(generic, F.lit("ID"))]
     return F.array_sort(F.array_compact(F.array(*found)))
@@ -131,14 +125,19 @@ def types_by_value(text: Column) -> Column:
     """Sorted array of the types whose patterns occur in a text.
 
     Numbers that are no digits count as letters of a word and accents as none, so that word borders fall
-    where they do in every script; both are replaced first by characters that no pattern names."""
-    text = F.regexp_replace(F.regexp_replace(text, r"[\p{Nl}\p{No}]", "\u0436"), r"\p{Mn}", "\u00b7")
-    found = []
-    for t, patterns in VALUE_RULES:
-        hit = text.rlike(any_script(patterns[0]))
-        for p in patterns[1:]:
-            hit = hit | text.rlike(any_script(p))
-        found.append(F.when(hit, F.lit(t)))
+    where they do in every script; both are replaced first by characters that no pattern names, in texts
+    that are not plain ASCII. What a pattern cannot do without (an @, a digit, eight digits in a row) is looked for
+    first, so few texts meet the dear patterns."""
+    other = F.regexp_replace(F.regexp_replace(text, r"[\p{Nl}\p{No}]", "\u0436"), r"\p{Mn}", "\u00b7")
+    text = F.when(F.octet_length(text) == F.length(text), text).otherwise(other)
+    digit, row = text.rlike(r"\p{Nd}"), text.rlike(r"\p{Nd}{8}")
+
+    def found_by(p: str) -> Column:
+        first = re.match(r"\\b\\d\{(\d+)", p)
+        need = text.contains("@") if "@" in p else text.contains(":") if ":)" in p else row if first and int(first[1]) >= 8 else digit
+        return need & text.rlike(any_script(p))
+
+    found = [F.when(reduce(Column.__or__, map(found_by, patterns)), F.lit(t)) for t, patterns in VALUE_RULES]
     return F.array_sort(F.array_compact(F.array(*found)))
 
 

@@ -108,10 +108,11 @@ def page_info(listed: DataFrame, number: int, per_page: int = 50) -> DataFrame:
 
 
 def applications(assets: DataFrame, connections: DataFrame) -> DataFrame:
-    """(id, application_name): of the connection with the asset's connector_id, else of the first whose
-    id starts the connector_id. Connections are few; their number bounds the rows of the theta join,
+    """(id, application_name), a row an asset: of the connection with the asset's connector_id, of several the
+    first by id, else of the first whose id starts the connector_id. Connections are few; their number bounds the rows of the theta join,
     which only sees assets without an exact match."""
     c = connections.select(F.concat_ws("_", "connector_type", "name").alias("cid"), F.get_json_object("config", "$.application_name").alias("application_name"), F.col("id").alias("order"))
+    c = c.groupBy("cid").agg(F.min(F.struct("order", "application_name")).alias("x")).select("cid", "x.application_name", "x.order")
     a = assets.select("id", "connector_id")
     exact = a.join(c, a.connector_id == c.cid, "left")
     rest = exact.where("cid is null").select("id", "connector_id").join(c, F.col("connector_id").startswith(F.col("cid")), "left")

@@ -52,6 +52,21 @@ def json_type(c: Column) -> Column:
     return F.when(t.isNull(), "null").when(t.startswith("["), F.when(first == "", "array<string>").otherwise(F.concat(F.lit("array<"), one(first), F.lit(">")))).otherwise(one(t))
 
 
+def value_type(document: Column, key: Column) -> Column:
+    """null, bool, int64, double, string, array<T> or object of what a parsed document holds under a key."""
+    inner = F.variant_get(document, F.concat(F.lit("$['"), key, F.lit("']")), "variant")
+    t = F.schema_of_variant(inner)
+
+    def one(x: Column) -> Column:
+        return (
+            F.when(x.isNull() | (x == "VOID"), "null").when(x == "BOOLEAN", "bool").when(x.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int64").when(x.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "double")
+            .when(x.startswith("OBJECT"), "object").when(x.startswith("ARRAY"), "array").otherwise("string")
+        )
+
+    item = F.regexp_extract(t, r"^ARRAY<(.*)>$", 1)
+    return F.when(t.startswith("ARRAY"), F.concat(F.lit("array<"), F.when(item == "VOID", "string").otherwise(one(item)), F.lit(">"))).otherwise(one(t))
+
+
 def asset_quality(assets: DataFrame, now: datetime) -> DataFrame:
     """(asset_id, completeness, uniqueness, consistency, timeliness, score, status), an asset a row.
 

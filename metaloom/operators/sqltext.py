@@ -197,8 +197,8 @@ def suffix_references(lineage: DataFrame, assets: DataFrame) -> DataFrame:
     t = F.regexp_extract_all("sql_query", F.lit(r"(?i)(?:FROM|JOIN|INTO)\s+([^\s;,()]+)"), F.lit(1))
     tok = lineage.where("sql_query is not null").select("id", F.explode(F.array_distinct(t)).alias("token")).withColumn("token", F.lower("token")).where("token <> ''")
     sizes = tok.select(F.length("token").alias("k")).distinct()
-    a = assets.select(loose_id("id").alias("asset_id")).join(F.broadcast(sizes), F.length("asset_id") >= F.col("k"))  # lengths of names, at most a few hundred
-    a = a.select("asset_id", F.expr("right(asset_id, k)").alias("token"))
+    a = assets.select(loose_id("id").alias("asset_id")).where("asset_id is not null")
+    a = a.select("asset_id", F.explode(F.sequence(F.lit(1), F.length("asset_id"))).alias("k")).join(sizes, "k").select("asset_id", F.expr("right(asset_id, k)").alias("token"))
     return tok.join(a, "token").select("id", "token", "asset_id", F.lit(0.85).alias("confidence"))
 
 

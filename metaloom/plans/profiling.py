@@ -137,9 +137,8 @@ def i_types(t):
     "SELECT DISTINCT event_type, key, CASE json_type(props, '$.' || key) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'int64' WHEN 'BIGINT' THEN 'int64' WHEN 'DOUBLE' THEN 'double' WHEN 'BOOLEAN' THEN 'bool' ELSE lower(json_type(props, '$.' || key)) END AS type FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)",
 )
 def i_json(t):
-    v = t("events").select("event_type", "props", F.explode(F.json_object_keys("props")).alias("key"))
-    raw = F.get(F.regexp_extract_all(F.concat(F.lit("{"), F.regexp_replace("props", r"^\s*\{", "")), F.lit(r'("(?:[^"\\]|\\.)*")\s*:\s*("(?:[^"\\]|\\.)*"|[^,}]+)'), F.lit(2)), F.lit(0))
-    return v.select("event_type", "key", Q.json_type(raw).alias("type")).distinct()
+    v = t("events").select("event_type", F.try_parse_json("props").alias("v"), F.explode(F.json_object_keys("props")).alias("key"))
+    return v.select("event_type", "key", Q.value_type(F.col("v"), F.col("key")).alias("type")).distinct()
 
 
 _QUAL = f"""{COLS},
@@ -201,14 +200,35 @@ def i_facts(t):
 # personal data
 
 _LOW = "lower(coalesce(c ->> '$.name', ''))"
-_TYPES = ", ".join(f"CASE WHEN {pii.holds_sql(r, 'low')} THEN '{k}' END" for k, r in pii.NAME_RULES)
-_GEN = (
-    "CASE WHEN (ends_with(low, '_id') OR ends_with(regexp_replace(low, '[_\\-\\s]', '', 'g'), 'id')) AND low NOT IN (" + ", ".join(f"'{x}'" for x in pii.NOT_PERSONAL) + ") AND NOT ("
-    + " OR ".join(pii.holds_sql(dict(pii.NAME_RULES)[s], "low") for s in pii.SPECIFIC_IDS) + ") THEN 'ID' END"
-)
-
-
-@R.add("pii_I1_I2_names", f"WITH {COLS}, l AS (SELECT asset_id, pos, {_LOW} AS low FROM cols WHERE c ->> '$.name' IS NOT NULL) SELECT asset_id, pos, array_to_string(list_sort(list_filter([{_TYPES}, {_GEN}], lambda x: x IS NOT NULL)), ',') AS types FROM l")
+_FLAT = r"regexp_replace(low, '[_\-\s]', '', 'g') AS flat"
+#: The rules by name, written out for DuckDB: low is the name in lower case, flat the same without separators (fixed values).
+_TYPES_BY_NAME = """
+CASE WHEN (contains(low, 'email')) OR (contains(low, 'mail') AND NOT contains(low, 'name')) OR (contains(low, 'correo')) THEN 'Email' END,
+CASE WHEN (contains(low, 'phone')) OR (contains(low, 'tel')) OR (contains(low, 'mobile')) OR (contains(low, 'cell') AND NOT contains(low, 'name')) THEN 'PhoneNumber' END,
+CASE WHEN (contains(low, 'ssn')) OR (contains(low, 'social') AND contains(low, 'security')) OR (contains(low, 'national') AND contains(low, 'id')) OR (contains(low, 'tin')) THEN 'SSN' END,
+CASE WHEN (contains(low, 'credit') AND contains(low, 'card')) OR (contains(low, 'card') AND contains(low, 'number')) OR (contains(low, 'ccn')) OR (contains(low, 'cvv')) OR (contains(low, 'cvc')) THEN 'CreditCard' END,
+CASE WHEN (contains(low, 'name')) OR (contains(low, 'reviewed') AND contains(low, 'by')) OR (contains(low, 'created') AND contains(low, 'by')) OR (contains(low, 'updated') AND contains(low, 'by')) OR (contains(low, 'owner')) OR (contains(low, 'author')) THEN 'PersonName' END,
+CASE WHEN (contains(low, 'address')) OR (contains(low, 'street')) OR (contains(low, 'city')) OR (contains(low, 'zip')) OR (contains(low, 'postal')) OR (contains(low, 'state')) OR (contains(low, 'country')) OR (contains(low, 'addr')) OR (contains(low, 'province')) OR (contains(low, 'county')) THEN 'Address' END,
+CASE WHEN (contains(low, 'dob')) OR (contains(low, 'birth') AND contains(low, 'date')) THEN 'DateOfBirth' END,
+CASE WHEN (contains(low, 'ip')) THEN 'IPAddress' END,
+CASE WHEN (contains(low, 'account') AND contains(low, 'number')) OR (contains(low, 'account') AND contains(low, 'id')) OR (contains(low, 'accountnum')) OR (contains(low, 'accnum')) OR (contains(low, 'account') AND contains(low, 'code')) OR (contains(flat, 'accountid')) THEN 'AccountNumber' END,
+CASE WHEN (contains(low, 'customer') AND contains(low, 'id')) OR (contains(low, 'cust') AND contains(low, 'id')) OR (contains(flat, 'customerid')) THEN 'CustomerID' END,
+CASE WHEN (contains(low, 'transaction') AND contains(low, 'id')) OR (contains(flat, 'transactionid')) OR (contains(low, 'txn_id')) OR (contains(flat, 'txnid')) THEN 'TransactionID' END,
+CASE WHEN (contains(low, 'user') AND contains(low, 'id')) OR (contains(flat, 'userid')) OR (contains(low, 'person') AND contains(low, 'id') AND NOT contains(low, 'name')) THEN 'UserID' END,
+CASE WHEN (contains(low, 'passport')) THEN 'PassportNumber' END,
+CASE WHEN (contains(low, 'driver') AND contains(low, 'license')) OR (contains(low, 'driving') AND contains(low, 'license')) OR (contains(low, 'dl') AND length(low) < 10) OR (contains(flat, 'driverlic')) THEN 'DriverLicense' END,
+CASE WHEN (contains(low, 'bank') AND contains(low, 'account')) OR (contains(low, 'routing') AND contains(low, 'number')) OR (contains(low, 'iban')) OR (contains(low, 'swift')) THEN 'BankAccount' END,
+CASE WHEN (contains(low, 'medical') AND contains(low, 'record')) OR (contains(low, 'patient') AND contains(low, 'id')) OR (contains(low, 'diagnosis')) THEN 'MedicalRecord' END,
+CASE WHEN (contains(low, 'license') AND contains(low, 'plate')) OR (contains(low, 'plate') AND contains(low, 'number')) OR (contains(low, 'vehicle') AND contains(low, 'registration')) THEN 'LicensePlate' END,
+CASE WHEN (contains(low, 'password')) OR (contains(low, 'passwd')) OR (contains(low, 'pwd')) OR (contains(low, 'secret')) OR (contains(low, 'api') AND contains(low, 'key')) OR (contains(low, 'token')) THEN 'Password' END,
+CASE WHEN (contains(low, 'gender')) OR (contains(low, 'sex')) THEN 'Gender' END,
+CASE WHEN (contains(low, 'race')) OR (contains(low, 'ethnicity')) THEN 'Race' END,
+CASE WHEN (contains(low, 'religion')) OR (contains(low, 'religious')) THEN 'Religion' END,
+CASE WHEN (contains(low, 'fingerprint')) OR (contains(low, 'iris')) OR (contains(low, 'retina')) OR (contains(low, 'biometric')) THEN 'Biometric' END,
+CASE WHEN (ends_with(low, '_id') OR ends_with(flat, 'id')) AND low NOT IN ('alert_id', 'event_id', 'log_id', 'session_id', 'request_id', 'job_id', 'task_id', 'batch_id', 'process_id', 'thread_id') AND NOT (((contains(low, 'customer') AND contains(low, 'id')) OR (contains(low, 'cust') AND contains(low, 'id')) OR (contains(flat, 'customerid'))) OR ((contains(low, 'user') AND contains(low, 'id')) OR (contains(flat, 'userid')) OR (contains(low, 'person') AND contains(low, 'id') AND NOT contains(low, 'name'))) OR ((contains(low, 'account') AND contains(low, 'number')) OR (contains(low, 'account') AND contains(low, 'id')) OR (contains(low, 'accountnum')) OR (contains(low, 'accnum')) OR (contains(low, 'account') AND contains(low, 'code')) OR (contains(flat, 'accountid'))) OR ((contains(low, 'transaction') AND contains(low, 'id')) OR (contains(flat, 'transactionid')) OR (contains(low, 'txn_id')) OR (contains(flat, 'txnid')))) THEN 'ID' END"""
+
+
+@R.add("pii_I1_I2_names", f"WITH {COLS}, l AS (SELECT asset_id, pos, {_LOW} AS low, {_FLAT} FROM cols WHERE c ->> '$.name' IS NOT NULL) SELECT asset_id, pos, array_to_string(list_sort(list_filter([{_TYPES_BY_NAME}], lambda x: x IS NOT NULL)), ',') AS types FROM l")
 def pii_names(t):
     return C.asset_columns(t("assets")).select("asset_id", F.col("pos").cast("bigint").alias("pos"), F.array_join(pii.types_by_name(F.col("name")), ",").alias("types"))
 
@@ -217,7 +237,19 @@ def _rx(p: str) -> str:
     return "(" + " OR ".join("regexp_matches(text, '" + x.replace("'", "''") + "')" for x in p) + ")"
 
 
-_VT = ", ".join(f"CASE WHEN {_rx(p)} THEN '{k}' END" for k, p in pii.VALUE_RULES)
+#: The patterns of values, written out (fixed values).
+_PATTERNS = (
+    ("Email", (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\.[A-Z|a-z]{2,}\b",)),
+    ("PhoneNumber", (r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", r"\(\d{3}\)\s?\d{3}[-.\s]?\d{4}\b", r"\b\+?\d{1,3}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}\b", r"\b\d{10,15}\b", r"\b\d{4}[-.\s]?\d{3}[-.\s]?\d{3}\b",)),
+    ("SSN", (r"\b\d{3}-\d{2}-\d{4}\b", r"\b\d{3}\s\d{2}\s\d{4}\b", r"\b\d{9}\b",)),
+    ("CreditCard", (r"\b\d{4}[-.\s]?\d{4}[-.\s]?\d{4}[-.\s]?\d{4}\b", r"\b\d{13,19}\b", r"\b\d{3,4}\b",)),
+    ("IPAddress", (r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", r"\b([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",)),
+    ("PassportNumber", (r"\b[A-Z]{1,2}\d{6,9}\b", r"\b\d{8,9}\b",)),
+    ("DriverLicense", (r"\b[A-Z]{1,2}\d{6,8}\b", r"\b\d{8,16}\b",)),
+    ("BankAccount", (r"\b\d{9,17}\b", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b",)),
+    ("DateOfBirth", (r"\b(0?[1-9]|1[0-2])[/-](0?[1-9]|[12][0-9]|3[01])[/-](19|20)\d{2}\b", r"\b(0?[1-9]|[12][0-9]|3[01])[/-](0?[1-9]|1[0-2])[/-](19|20)\d{2}\b", r"\b(19|20)\d{2}[/-](0?[1-9]|1[0-2])[/-](0?[1-9]|[12][0-9]|3[01])\b",)),
+)
+_VT = ", ".join(f"CASE WHEN {_rx(p)} THEN '{k}' END" for k, p in _PATTERNS)
 
 
 @R.add("pii_I3_values", rf"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\P{{L}}a-zA-Z]', '_', 'g'), '[^\P{{Nd}}0-9]', '0', 'g'), '[^\P{{N}}0-9]', '_', 'g'), '\p{{Z}}', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL)
@@ -228,7 +260,7 @@ def pii_values(t):
 
 @R.add(
     "pii_I6_listing",
-    f"""WITH {COLS}, l AS (SELECT asset_id, regexp_matches(lower(coalesce(c ->> '$.name', '') || ' ' || coalesce(c ->> '$.description', '')), '{"|".join(pii.LISTING_WORDS.split())}') AS p FROM cols WHERE c ->> '$.name' IS NOT NULL)
+    f"""WITH {COLS}, l AS (SELECT asset_id, regexp_matches(lower(coalesce(c ->> '$.name', '') || ' ' || coalesce(c ->> '$.description', '')), 'email|e-mail|mail|phone|mobile|cell|telephone|firstname|lastname|fullname|name|address|street|city|zip|postal|ssn|social|passport|license|id|credit|card|account|bank|birth|age|gender|race|ethnicity|location|gps|coordinate|lat|lng|password|secret|private|confidential') AS p FROM cols WHERE c ->> '$.name' IS NOT NULL)
     SELECT asset_id, count(*) FILTER (p) AS n_personal, count(*) FILTER (NOT p) AS n_safe, round(100.0 * count(*) FILTER (p) / count(*), 2) AS percent FROM l GROUP BY 1""",
 )
 def pii_listing(t):
@@ -236,13 +268,34 @@ def pii_listing(t):
     return C.asset_columns(t("assets")).groupBy("asset_id").agg(F.count_if(p).alias("n_personal"), F.count_if(~p).alias("n_safe"), F.round(100 * F.count_if(p) / F.count("*"), 2).alias("percent"))
 
 
-_LEVEL = "CASE " + " ".join(f"WHEN {pii.holds_sql(r, 'low')} THEN {n}" for r, n, _ in pii.TAG_RULES) + " ELSE 2 END"
-_TAGS = "CASE " + " ".join(f"WHEN {pii.holds_sql(r, 'low')} THEN '{','.join(w.split())}'" for r, _, w in pii.TAG_RULES) + " ELSE 'GENERAL_PII' END"
+_LEVEL = """CASE WHEN (contains(low, 'ssn')) OR (contains(low, 'social')) THEN 5
+WHEN (contains(low, 'credit')) OR (contains(low, 'card')) OR (contains(low, 'payment')) THEN 5
+WHEN (contains(low, 'password')) OR (contains(low, 'secret')) OR (contains(low, 'token')) THEN 5
+WHEN (contains(low, 'bank')) OR (contains(low, 'routing')) OR (contains(low, 'account')) THEN 5
+WHEN (contains(low, 'date') AND contains(low, 'birth')) OR (contains(low, 'date') AND contains(low, 'dob')) THEN 4
+WHEN (contains(low, 'address')) OR (contains(low, 'street')) OR (contains(low, 'zipcode')) OR (contains(low, 'postal')) THEN 4
+WHEN (contains(low, 'passport')) OR (contains(low, 'license')) OR (contains(low, 'national_id')) THEN 5
+WHEN (contains(low, 'email')) OR (contains(low, 'e_mail')) THEN 3
+WHEN (contains(low, 'phone')) OR (contains(low, 'mobile')) OR (contains(low, 'cell')) THEN 3
+WHEN (contains(low, 'name') AND contains(low, 'first')) OR (contains(low, 'name') AND contains(low, 'last')) OR (contains(low, 'name') AND contains(low, 'full')) THEN 2
+WHEN (contains(low, 'id') AND contains(low, 'user')) OR (contains(low, 'id') AND contains(low, 'customer')) OR (contains(low, 'id') AND contains(low, 'person')) THEN 2 ELSE 2 END"""
+
+_TAGS = """CASE WHEN (contains(low, 'ssn')) OR (contains(low, 'social')) THEN 'SSN,CRITICAL_PII,ENCRYPT_AT_REST,ENCRYPT_IN_TRANSIT'
+WHEN (contains(low, 'credit')) OR (contains(low, 'card')) OR (contains(low, 'payment')) THEN 'FINANCIAL,PAYMENT_INFO,PCI_DSS,ENCRYPT_AT_REST,ENCRYPT_IN_TRANSIT'
+WHEN (contains(low, 'password')) OR (contains(low, 'secret')) OR (contains(low, 'token')) THEN 'CREDENTIALS,AUTH_TOKEN,HASH_AT_REST,NEVER_LOG'
+WHEN (contains(low, 'bank')) OR (contains(low, 'routing')) OR (contains(low, 'account')) THEN 'BANKING_INFO,FINANCIAL,ENCRYPT_AT_REST'
+WHEN (contains(low, 'date') AND contains(low, 'birth')) OR (contains(low, 'date') AND contains(low, 'dob')) THEN 'DATE_OF_BIRTH,PERSONAL_INFO,ENCRYPT_AT_REST'
+WHEN (contains(low, 'address')) OR (contains(low, 'street')) OR (contains(low, 'zipcode')) OR (contains(low, 'postal')) THEN 'ADDRESS,LOCATION,PERSONAL_INFO,ENCRYPT_AT_REST'
+WHEN (contains(low, 'passport')) OR (contains(low, 'license')) OR (contains(low, 'national_id')) THEN 'GOVERNMENT_ID,CRITICAL_PII,ENCRYPT_AT_REST,ENCRYPT_IN_TRANSIT'
+WHEN (contains(low, 'email')) OR (contains(low, 'e_mail')) THEN 'EMAIL,PERSONAL_INFO,MASK_IN_LOGS'
+WHEN (contains(low, 'phone')) OR (contains(low, 'mobile')) OR (contains(low, 'cell')) THEN 'PHONE,PERSONAL_INFO,MASK_IN_LOGS'
+WHEN (contains(low, 'name') AND contains(low, 'first')) OR (contains(low, 'name') AND contains(low, 'last')) OR (contains(low, 'name') AND contains(low, 'full')) THEN 'NAME,PERSONAL_INFO,MASK_IN_LOGS'
+WHEN (contains(low, 'id') AND contains(low, 'user')) OR (contains(low, 'id') AND contains(low, 'customer')) OR (contains(low, 'id') AND contains(low, 'person')) THEN 'IDENTIFIER,PERSONAL_INFO' ELSE 'GENERAL_PII' END"""
 
 
 @R.add(
     "pii_I7_tags",
-    f"WITH {COLS}, l AS (SELECT asset_id, pos, {_LOW} AS low FROM cols WHERE c ->> '$.name' IS NOT NULL AND CAST(c -> '$.pii_detected' AS BOOLEAN)) SELECT asset_id, pos, {_LEVEL} AS level, 'PII,SENSITIVE,DATA_PRIVACY,' || {_TAGS} || ',PII_SENSITIVITY_LEVEL_' || {_LEVEL} AS tags FROM l",
+    f"WITH {COLS}, l AS (SELECT asset_id, pos, {_LOW} AS low, {_FLAT} FROM cols WHERE c ->> '$.name' IS NOT NULL AND CAST(c -> '$.pii_detected' AS BOOLEAN)) SELECT asset_id, pos, {_LEVEL} AS level, 'PII,SENSITIVE,DATA_PRIVACY,' || {_TAGS} || ',PII_SENSITIVITY_LEVEL_' || {_LEVEL} AS tags FROM l",
 )
 def pii_tags(t):
     x = C.asset_columns(t("assets")).where("pii_detected").select("asset_id", F.col("pos").cast("bigint").alias("pos"), pii.recommended_tags(F.col("name")).alias("x"))
