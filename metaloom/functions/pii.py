@@ -67,6 +67,8 @@ VALUE_RULES = (
     ("BankAccount", (r"\b\d{9,17}\b", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b")),
     ("DateOfBirth", (r"\b(0?[1-9]|1[0-2])[/-](0?[1-9]|[12][0-9]|3[01])[/-](19|20)\d{2}\b", r"\b(0?[1-9]|[12][0-9]|3[01])[/-](0?[1-9]|1[0-2])[/-](19|20)\d{2}\b", r"\b(19|20)\d{2}[/-](0?[1-9]|1[0-2])[/-](0?[1-9]|[12][0-9]|3[01])\b")),
 )
+#: The patterns among them that most numbers meet.
+LOOSEST = (VALUE_RULES[1][1][2], VALUE_RULES[3][1][2], VALUE_RULES[8][1][2])
 #: Substrings that mark a column as personal in listings (fixed values).
 LISTING_WORDS = (
     "email e-mail mail phone mobile cell telephone firstname lastname fullname name address street city zip postal ssn social passport license id "
@@ -130,14 +132,16 @@ def types_by_value(text: Column) -> Column:
     first, so few texts meet the dear patterns."""
     other = F.regexp_replace(F.regexp_replace(text, r"[\p{Nl}\p{No}]", "\u0436"), r"\p{Mn}", "\u00b7")
     text = F.when(F.octet_length(text) == F.length(text), text).otherwise(other)
-    digit, row = text.rlike(r"\p{Nd}"), text.rlike(r"\p{Nd}{8}")
+    digit, six, row = text.rlike(r"\p{Nd}"), text.rlike(r"\p{Nd}{6}"), text.rlike(r"\p{Nd}{8}")
 
     def found_by(p: str) -> Column:
         first = re.match(r"\\b\\d\{(\d+)", p)
-        need = text.contains("@") if "@" in p else text.contains(":") if ":)" in p else row if first and int(first[1]) >= 8 else digit
+        need = text.contains("@") if "@" in p else text.contains(":") if ":)" in p else row if first and int(first[1]) >= 8 else six if r"\d{6," in p else digit
         return need & text.rlike(any_script(p))
 
-    found = [F.when(reduce(Column.__or__, map(found_by, patterns)), F.lit(t)) for t, patterns in VALUE_RULES]
+    # a rule's loosest pattern comes first: most texts with a number meet it and are spared the others
+    each = ((t, sorted(patterns, key=lambda p: p not in LOOSEST)) for t, patterns in VALUE_RULES)
+    found = [F.when(reduce(Column.__or__, map(found_by, patterns)), F.lit(t)) for t, patterns in each]
     return F.array_sort(F.array_compact(F.array(*found)))
 
 

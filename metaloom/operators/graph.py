@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.operators.sequence import numbered
-from metaloom.util import cut, loose_id
+from metaloom.util import cut, cut_counted, loose_id
 
 
 def edges(lineage: DataFrame) -> DataFrame:
@@ -49,12 +49,12 @@ def traverse(e: DataFrame, starts: DataFrame, depth: int | None = 3, upstream: b
     nodes, out, k = [frontier.withColumn("depth", F.lit(0))], [], 0
     while depth is None or k < depth:
         k += 1
-        hit = cut(frontier.join(step, "node").select("start", "next", "edge_id"), "hit")
+        hit = frontier.join(step, "node").select("start", "next", "edge_id")  # both sides are written, so it may be read twice
         out.append(hit.select("start", "edge_id", F.lit(k).alias("depth")))
         seen = _union([n.select("start", "node") for n in nodes])
         new = hit.select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
-        frontier = cut(new, "frontier")
-        if frontier.isEmpty():
+        frontier, found = cut_counted(new, "frontier", n=F.lit(True))
+        if not found["n"]:
             break
         nodes.append(frontier.withColumn("depth", F.lit(k)))
     return _union(nodes), _union(out)
@@ -73,15 +73,15 @@ def layout(e: DataFrame, group: DataFrame | None = None) -> DataFrame:
     links = cut(e.select("source", "target").distinct(), "links")
     ids = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
     targets = links.where("source <> target").select(F.col("target").alias("id")).distinct()
-    roots = cut(ids.join(targets, "id", "left_anti"), "roots")
-    if roots.isEmpty():
+    roots, found = cut_counted(ids.join(targets, "id", "left_anti"), "roots", n=F.lit(True))
+    if not found["n"]:
         roots = ids
     level, frontier, k = [roots.withColumn("level", F.lit(0))], roots, 0
     while True:
         k += 1
         new = frontier.join(links, frontier.id == links.source).select(F.col("target").alias("id")).distinct()
-        frontier = cut(new.join(_union([x.select("id") for x in level]), "id", "left_anti"), "level")
-        if frontier.isEmpty():
+        frontier, found = cut_counted(new.join(_union([x.select("id") for x in level]), "id", "left_anti"), "level", n=F.lit(True))
+        if not found["n"]:
             break
         level.append(frontier.withColumn("level", F.lit(k)))
     out = ids.join(_union(level), "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
@@ -136,6 +136,25 @@ def asset_documents(assets: DataFrame, lineage: DataFrame) -> DataFrame:
     return j.join(chain, "id", "left").fillna(zero).select("id", "name", "n_upstream", "n_downstream", "n_columns", "hierarchy")
 
 
+def lineage_nodes(e: DataFrame, assets: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, name, type, catalog, connector_id, is_known, level, x, y): the nodes of the lineage document, an end of an
+    edge each, with its place from `layout`. Ends that are no assets keep their id as their name."""
+    ids = e.select(F.col("source").alias("id")).union(e.select("target")).distinct()
+    a = assets.select(loose_id("id").alias("id"), "name", "type", "catalog", "connector_id").where("id is not null").groupBy("id")
+    a = a.agg(F.min(F.struct("name", "type", "catalog", "connector_id")).alias("a"))
+    j = ids.join(a, "id", "left").join(places, "id", "left")
+    return j.select("id", F.coalesce("a.name", "id").alias("name"), "a.type", "a.catalog", "a.connector_id", F.col("a").isNotNull().alias("is_known"), "level", "x", "y")
+
+
+def lineage_edges(lineage: DataFrame) -> DataFrame:
+    """(source, target, n_edges, kinds, n_columns, confidence): the edges of the lineage document, a row for each two
+    assets, with the kinds of relationship, the mapped columns and the best confidence."""
+    n = F.coalesce(F.size(F.from_json("column_lineage", COLUMN_LINEAGE)), F.lit(0))
+    e = lineage.select(loose_id("source_asset_id").alias("source"), loose_id("target_asset_id").alias("target"), "relationship_type", F.greatest(n, F.lit(0)).alias("n"), F.col("confidence_score").cast("double").alias("c"))
+    g = e.where("source is not null and target is not null").groupBy("source", "target")
+    return g.agg(F.count("*").alias("n_edges"), F.array_join(F.array_sort(F.collect_set("relationship_type")), ",").alias("kinds"), F.sum("n").alias("n_columns"), F.max("c").alias("confidence"))
+
+
 def node_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9_]", "_")
 

@@ -133,9 +133,15 @@ def cat_hidden(t):
     return C.hidden(t("data_discovery"))
 
 
-@R.add("cat_P14_redacted")
+@R.add(
+    "cat_P14_redacted",
+    """WITH k AS (SELECT id, unnest(json_keys(config)) AS key, config FROM connections WHERE json_valid(config)),
+    v AS (SELECT id, string_agg(key || '=' || CASE WHEN regexp_matches(lower(key), 'password|passwd|pwd|secret|key|token|credential|connection_string|sas|private|auth') THEN '***' ELSE coalesce(config ->> ('$."' || key || '"'), '') END, ';' ORDER BY key) AS config FROM k GROUP BY 1)
+    SELECT c.id, c.name, c.connector_type, coalesce(v.config, '') AS config, c.status FROM connections c LEFT JOIN v USING (id)""",
+)
 def cat_redacted(t):
-    return C.redacted(t("connections")).withColumn("config", F.to_json("config"))
+    c = F.array_sort(F.transform(F.map_entries("config"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
+    return C.redacted(t("connections")).withColumn("config", F.coalesce(F.array_join(c, ";"), F.lit("")))
 
 
 @R.add(

@@ -100,6 +100,32 @@ def g_documents(t):
     return G.asset_documents(t("assets"), t("lineage_relationships"))
 
 
+@R.add(
+    "graph_G7_G8_nodes",
+    f"""WITH RECURSIVE {_LAYOUT}, p AS (SELECT v.id, level, level * 300 AS x, (row_number() OVER (PARTITION BY level ORDER BY coalesce(grp, ''), v.id) - 1) * 120 AS y FROM v LEFT JOIN gr USING (id)),
+    a AS (SELECT {sid('id')} AS id, min((name, type, catalog, connector_id)) AS s FROM assets GROUP BY 1)
+    SELECT p.id, coalesce(s[1], p.id) AS name, s[2] AS type, s[3] AS catalog, s[4] AS connector_id, s IS NOT NULL AS is_known, level, x, y FROM p LEFT JOIN a USING (id)""",
+)
+def g_nodes(t):
+    grp = t("assets").groupBy(C.loose_id("id").alias("id")).agg(F.min(F.concat("catalog", F.lit("_"), "connector_id")).alias("grp"))
+    e = _edges(t)
+    return G.lineage_nodes(e, t("assets"), G.layout(e, grp))
+
+
+@R.add(
+    "graph_G7_edges",
+    f"""SELECT {S} AS source, {T} AS target, count(*) AS n_edges, string_agg(DISTINCT relationship_type, ',' ORDER BY relationship_type) AS kinds, sum(coalesce(json_array_length(column_lineage), 0))::BIGINT AS n_columns, max(confidence_score)::DOUBLE AS confidence
+    FROM lineage_relationships WHERE {S} IS NOT NULL AND {T} IS NOT NULL GROUP BY 1, 2""",
+)
+def g_edge_rows(t):
+    return G.lineage_edges(t("lineage_relationships"))
+
+
+@R.add("graph_G8_reactflow", f"""WITH {_E}, d AS (SELECT DISTINCT source AS s, target AS t FROM e) SELECT '{{"id":"' || regexp_replace(s, '[^a-zA-Z0-9_]', '_', 'g') || '-' || regexp_replace(t, '[^a-zA-Z0-9_]', '_', 'g') || '","source":' || to_json(s) || ',"target":' || to_json(t) || '}}' AS line FROM d""")
+def g_reactflow(t):
+    return G.diagram(_edges(t), "reactflow")
+
+
 @R.add("graph_G8_mermaid", f"WITH {_E} SELECT DISTINCT '    ' || regexp_replace(source, '[^a-zA-Z0-9_]', '_', 'g') || '[' || source || '] --> ' || regexp_replace(target, '[^a-zA-Z0-9_]', '_', 'g') || '[' || target || ']' AS line FROM e")
 def g_mermaid(t):
     return G.diagram(_edges(t), "mermaid")
