@@ -256,15 +256,17 @@ def _partial_orders(obs: DataFrame, fields, learned: DataFrame) -> DataFrame:
     some usable value occurs without a time only."""
     g, gv = ["asset_id", "field_name"], ["asset_id", "field_name", "value"]
     values = _long(obs, fields)
-    without = cut(values.where("at is null").groupBy(*gv).agg(F.max("id").alias("id")), "untimed")
-    timed = values.where("at is not null").join(without.select(*g).distinct(), g, "left_semi").groupBy(*gv).agg(F.max(F.struct("at", "id")).alias("last"))
-    timed = cut(timed, "timed")
-    free, m = cut_counted(without.join(timed.select(*gv), gv, "left_anti").withColumn("timed", F.lit(False)), "loose", n=F.lit(True))
-    last = timed.join(free.select(*g).distinct(), g, "left_semi").groupBy(*g).agg(F.max(F.struct("last", "value")).alias("m"))
+    # of every value of a group its last time and largest id, and the largest id it has without a time
+    seen = values.groupBy(*gv).agg(F.max(F.when(F.col("at").isNotNull(), F.struct("at", "id"))).alias("last"), F.max(F.when(F.col("at").isNull(), F.col("id"))).alias("id"))
+    without = values.where("at is null").select(*g).distinct()
+    seen = cut(seen.join(without, g, "left_semi"), "untimed")
+    free, m = cut_counted(seen.where("last is null").select(*gv, "id", F.lit(False).alias("timed")), "loose", n=F.lit(True))
+    timed = seen.where("last is not null").join(free.select(*g).distinct(), g, "left_semi")
+    last = timed.groupBy(*g).agg(F.max(F.struct("last", "value")).alias("m"))
     last = last.select(*g, F.col("m.value").alias("value"), F.col("m.last.id").alias("id"), F.lit(True).alias("timed"))
-    cand = cut(free.unionByName(last), "candidates")
+    cand = free.unionByName(last)
     members = timed.select(*gv, F.lit(True).alias("to_timed")).unionByName(free.select(*gv, F.lit(False).alias("to_timed")))
-    fv = members.join(free.select(*g).distinct(), g, "left_semi").select("field_name", "value").distinct()
+    fv = members.select("field_name", "value").distinct()
     order = _shortened(learned, fv) if m["n"] else learned.select("field_name", F.col("earlier").alias("value"), F.col("later").alias("nxt"))
     ahead = _reach(order, cand.select("field_name", "value"))
     hits = (
