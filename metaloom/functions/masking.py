@@ -179,3 +179,13 @@ def masked_view(df: DataFrame, columns: list[dict], audience: str = "analytical"
         if policy and not (dialect == "trino" and behaviour(policy)[0] == "keep"):
             out.append(mask(policy, name, F.col(quoted(name)), dialect=dialect, **options).alias(f"{name}_masked"))
     return df.select(*out)
+
+
+def masking_summary(columns: DataFrame, audience: str = "analytical") -> DataFrame:
+    """(asset_id, pos, name, pii_detected, policy, effective_mode, has_masked_column) of rows of catalog columns: what a
+    masked view does with each. unmasked is a column that is not personal or whose policy shows everything, redacted a
+    personal one without a policy, masked any other. Columns without a name are left out."""
+    policy = F.coalesce(F.trim(f"masking_logic_{audience}"), F.lit(""))
+    personal = F.coalesce("pii_detected", F.lit(False))
+    mode = F.when(~personal, "unmasked").when(policy == "", "redacted").when(F.lower(policy).isin(*POLICIES["keep"].split()), "unmasked").otherwise("masked")
+    return columns.where("name <> ''").select("asset_id", "pos", "name", personal.alias("pii_detected"), policy.alias("policy"), mode.alias("effective_mode"), personal.alias("has_masked_column"))

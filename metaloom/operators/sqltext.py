@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.functions.sqlparse import statements
+from metaloom.operators.catalog import document
 from metaloom.util import arrow_map, loose_id
 
 STATEMENTS = "statement_no int, query_type string, target string, sources array<string>, n_columns int, complexity double, confidence double, counts map<string,int>"
@@ -202,6 +203,50 @@ def suffix_references(lineage: DataFrame, assets: DataFrame) -> DataFrame:
     return tok.join(a, "token").select("id", "token", "asset_id", F.lit(0.85).alias("confidence"))
 
 
+def containing(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """(token, id, exact): every name (id, name) that contains a token, both in lower case. Names are cut into their
+    parts of the lengths that tokens have, and parts meet tokens by equality, so no name meets every token."""
+    t = tokens.select(F.lower("token").alias("token")).where("token <> ''").distinct()
+    sizes = t.select(F.length("token").alias("k")).distinct()
+    n = names.select("id", F.lower("name").alias("name")).where("id is not null and name <> ''")
+    n = n.select("id", "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("k")).join(sizes, "k")
+    parts = n.select("id", "name", "k", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("k") + 1)).alias("i")).select("id", F.expr("substring(name, i, k)").alias("token"), (F.length("name") == F.col("k")).alias("exact"))
+    return parts.join(t, "token").distinct()
+
+
+def first_containing(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """(token, id): of all names that contain a token an equal one, else the one of the smallest id."""
+    return containing(tokens, names).groupBy("token").agg(F.min(F.struct((~F.col("exact")).alias("part"), "id")).alias("m")).select("token", "m.id")
+
+
+def trigger_edges(triggers: DataFrame) -> DataFrame:
+    """(source, target, kind, confidence): a trigger's table leads to it (.9), so does every other table that its body
+    reads (.85). triggers has owner, trigger_name, table_name and trigger_body; names without a schema are of the owner's.
+    A trigger without a name or table gives no edge; repeated rows count once."""
+    full = lambda owner, name: F.lower(F.when(F.contains(name, F.lit(".")), name).otherwise(F.concat_ws(".", owner, name)))
+    t = triggers.where("trigger_name is not null and table_name is not null").select("owner", full(F.col("owner"), F.col("trigger_name")).alias("trigger"), full(F.col("owner"), F.col("table_name")).alias("table"), "trigger_body").distinct()
+    body = procedure_lineage(t.groupBy("trigger").agg(F.first("trigger_body").alias("code")), "trigger", "code").select("trigger", "sources")
+    read = t.join(body, "trigger").select("trigger", "table", "owner", F.explode("sources").alias("s")).select("trigger", "table", full(F.col("owner"), F.col("s")).alias("s")).where("s <> table")
+    own = t.select(F.col("table").alias("source"), F.col("trigger").alias("target"), F.lit("on").alias("kind"), F.lit(0.9).alias("confidence"))
+    return own.unionByName(read.select(F.col("s").alias("source"), F.col("trigger").alias("target"), F.lit("reads").alias("kind"), F.lit(0.85).alias("confidence"))).distinct()
+
+
+#: Where an asset's own SQL may stand (fixed values).
+SQL_FIELDS = ("sql_query", "view_definition", "create_statement", "ddl")
+VIEW_SQL = ("analytical_sql", "operational_sql")
+
+
+def asset_sql(assets: DataFrame, discovery: DataFrame) -> DataFrame:
+    """(asset_id, place, sql): the SQL texts of each asset: the generated views of its scan with the largest id, and
+    four fields of its technical metadata. Blank texts and documents that are not complete JSON have none."""
+    d = discovery.select(loose_id("asset_id").alias("asset_id"), "id", "schema_json").where("asset_id is not null")
+    d = d.groupBy("asset_id").agg(F.max(F.struct("id", "schema_json")).alias("m"))
+    pick = lambda c, root, names: F.array(*(F.struct(F.lit(n).alias("place"), F.get_json_object(c, f"{root}.{n}").alias("sql")) for n in names))
+    views = d.select("asset_id", F.inline(pick(document("m.schema_json"), "$.view_sql_commands", VIEW_SQL)))
+    own = assets.select(loose_id("id").alias("asset_id"), F.inline(pick(document("technical_metadata"), "$", SQL_FIELDS)))
+    return views.unionByName(own).where("asset_id is not null and trim(sql) <> ''")
+
+
 #: SQL in the source of a workflow (formats).
 EMBEDDED = (r"""(?i)["']([^"']*SELECT[^"']*)["']""", r"""(?i)sql\s*=\s*["']([^"']*)["']""", r"""(?i)query\s*=\s*["']([^"']*)["']""")
 

@@ -57,11 +57,29 @@ def s_parquet(spark, d):
     return files.parquet_profile(spark, d).select(files.file_of(F.col("path")).alias("file"), "num_rows", "num_row_groups", "column", "type", "nullable")
 
 
-@R.add("src_S9_S10_S13_text", "SELECT r_name AS path, unnest(['r_regionkey', 'column_2']) AS column, 'string' AS type, unnest([CAST(r_regionkey AS VARCHAR), r_name]) AS sample FROM region")
-def s_text(t):
-    text = F.concat(F.lit("r_regionkey,\n"), F.col("r_regionkey").cast("string"), F.lit(","), F.col("r_name"))
-    f = t("region").select(F.col("r_name").alias("path"), F.lit("csv").alias("format"), text.alias("text"))
-    return files.text_profile(f).select("path", "column", "type", F.element_at("samples", 1).alias("sample"))
+@R.add("src_S9_csv", "SELECT 'c' || c_custkey AS path, unnest(['c_custkey', 'c_name', 'column_3']) AS column, 'string' AS type, unnest([CAST(c_custkey AS VARCHAR), c_name, c_mktsegment]) AS sample FROM customer")
+def s_csv(t):
+    """A file of two lines for each customer; the third column has no name."""
+    k = F.col("c_custkey").cast("string")
+    return _profiled(t("customer"), "csv", F.concat(F.lit("c_custkey,c_name,\n"), k, F.lit(","), "c_name", F.lit(","), "c_mktsegment"))
+
+
+@R.add("src_S10_json", "SELECT 'c' || c_custkey AS path, unnest(['k', 'name']) AS column, 'string' AS type, unnest([CAST(c_custkey AS VARCHAR), '\"' || c_name || '\"']) AS sample FROM customer")
+def s_json(t):
+    """An array of two objects for each customer, the second with a key that the first lacks."""
+    one = F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    return _profiled(t("customer"), "json", F.concat(F.lit("["), F.to_json(one), F.lit(', {"k": 1, "other": 2}]')))
+
+
+@R.add("src_S13_xml", "SELECT 'c' || c_custkey AS path, unnest(['c', 'c.name', 'c.part', 'c.part.size']) AS column, 'string' AS type, unnest([NULL, c_name, NULL, c_mktsegment]) AS sample FROM customer")
+def s_xml(t):
+    """A document for each customer with a repeated element."""
+    return _profiled(t("customer"), "xml", F.concat(F.lit("<c><name>"), "c_name", F.lit("</name><part><size>"), "c_mktsegment", F.lit("</size></part><part><size>x</size></part></c>")))
+
+
+def _profiled(customers, form, text):
+    f = customers.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.lit(form).alias("format"), text.alias("text"))
+    return files.text_profile(f).select("path", "column", "type", F.get("samples", F.lit(0)).alias("sample"))
 
 
 _KINDS = "CASE WHEN {0} IN ('l_orderkey', 'l_quantity') THEN 'NUMBER' ELSE 'VARCHAR2' END"

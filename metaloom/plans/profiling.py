@@ -369,6 +369,16 @@ def mask_view(t):
     return masking.masked_view(_people(t), VIEW_COLUMNS)
 
 
+@R.add(
+    "mask_M22_summary",
+    f"""WITH {COLS}, m AS (SELECT asset_id, pos, c ->> '$.name' AS name, coalesce(CAST(c -> '$.pii_detected' AS BOOLEAN), false) AS pii_detected, coalesce(trim(c ->> '$.masking_logic_analytical'), '') AS policy FROM cols WHERE c ->> '$.name' <> '')
+    SELECT *, CASE WHEN NOT pii_detected THEN 'unmasked' WHEN policy = '' THEN 'redacted' WHEN lower(policy) IN ('show_full', 'none', 'no_mask', 'unmasked', 'original') THEN 'unmasked' ELSE 'masked' END AS effective_mode, pii_detected AS has_masked_column FROM m""",
+)
+def mask_summary(t):
+    c = C.asset_columns(t("assets")).withColumn("pos", F.col("pos").cast("bigint"))
+    return masking.masking_summary(c)
+
+
 @R.add("mask_M22_M24_view_trino", f"WITH {PEOPLE} SELECT customer_id, email, phone, '***MASKED***' AS phone_masked, full_name, left(full_name, 1) || '***' AS full_name_masked FROM people")
 def mask_view_trino(t):
     return masking.masked_view(_people(t), VIEW_COLUMNS, "operational", "trino")

@@ -104,6 +104,30 @@ def references(t):
     return X.suffix_references(t("lineage_relationships"), t("assets"))
 
 
+_TOKENS = rf"k AS (SELECT DISTINCT lower(split_part(unnest(regexp_extract_all(sql_query, '{_REF}', 1)), '.', -1)) AS token FROM lineage_relationships WHERE sql_query IS NOT NULL)"
+
+
+def _tokens(t):
+    """The last parts of all table names in the edges' SQL."""
+    x = F.explode(F.regexp_extract_all("sql_query", F.lit(r"(?i)(?:FROM|JOIN|INTO)\s+([^\s;,()]+)")))
+    return t("lineage_relationships").where("sql_query is not null").select(x.alias("x")).select(F.substring_index("x", ".", -1).alias("token"))
+
+
+@R.add("sql_J13_contained", f"WITH {_TOKENS} SELECT token, a.id, lower(a.name) = token AS exact FROM k JOIN assets a ON contains(lower(a.name), token) WHERE token <> ''")
+def contained(t):
+    return X.containing(_tokens(t), t("assets"))
+
+
+@R.add("sql_J17_first", f"WITH {_TOKENS} SELECT token, arg_min(a.id, ((lower(a.name) <> token)::INT, a.id)) AS id FROM k JOIN assets a ON contains(lower(a.name), token) WHERE token <> '' GROUP BY 1")
+def first_contained(t):
+    return X.first_containing(_tokens(t), t("assets"))
+
+
+@R.add("sql_L18_assets", "SELECT lower(trim(id)) AS asset_id, f AS place, technical_metadata ->> ('$.' || f) AS sql FROM assets, (SELECT unnest(['sql_query', 'view_definition', 'create_statement', 'ddl']) AS f) WHERE json_valid(technical_metadata) AND trim(technical_metadata ->> ('$.' || f)) <> ''")
+def asset_texts(t):
+    return X.asset_sql(t("assets"), t("data_discovery"))
+
+
 @R.add("sql_S20_L18_embedded", "SELECT id, 2 AS line_number, trim(sql_query) AS sql, left(trim('sql = \"' || sql_query || '\"'), 100) AS context FROM lineage_relationships WHERE sql_query IS NOT NULL AND length(trim(sql_query)) > 20")
 def embedded(t):
     f = t("lineage_relationships").where("sql_query is not null").select("id", F.concat(F.lit("def task():\n    sql = \""), "sql_query", F.lit("\"\n    return sql")).alias("code"))

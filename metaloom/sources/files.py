@@ -153,8 +153,10 @@ def text_profile(files: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, form: str) -> DataFrame:
     """A file or folder as a table, by format. Text formats come with every column a string."""
-    if form in ("parquet", "delta"):  # a table folder's data files
+    if form == "parquet":
         return spark.read.parquet(path)
+    if form == "delta":
+        return delta_table(spark, path)
     if form == "orc":
         return spark.read.orc(path)
     if form == "csv":
@@ -169,14 +171,58 @@ def read(spark: SparkSession, path: str, form: str) -> DataFrame:
         except Exception as e:
             raise RuntimeError("reading Avro needs Spark's avro module on the class path") from e
     if form == "excel":
-        if not importlib.util.find_spec("openpyxl"):
-            raise RuntimeError("reading Excel needs openpyxl on the executors")
-        import pandas as pd
-
-        return spark.createDataFrame(pd.read_excel(path, dtype=str))
+        return excel_rows(spark, path)
     raise ValueError(f"no reader for {form}")
 
 
+def delta_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file): the data files that a table folder's log holds at its end: of every file the last action counts.
+    The log is read by the executors: JSON commits, and Parquet checkpoints where there are any."""
+    act = "struct<path: string>"
+    version = F.regexp_extract(F.input_file_name(), r"([0-9]{20})", 1)
+    log = spark.read.schema(f"add {act}, remove {act}")
+    one = log.json(f"{path}/_delta_log/*.json").select("add", "remove", version.alias("v"), F.lit(1).alias("o"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_delta_log")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_delta_log/*.checkpoint*.parquet")):
+        one = one.unionByName(log.parquet(f"{path}/_delta_log/*.checkpoint*.parquet").select("add", "remove", version.alias("v"), F.lit(0).alias("o")))
+    a = one.where("add is not null or remove is not null").select(F.coalesce("add.path", "remove.path").alias("file"), "v", "o", F.col("add").isNotNull().alias("here"))
+    # within a version a file that is added again stays
+    return a.groupBy("file").agg(F.max(F.struct("v", "o", "here")).alias("m")).where("m.here").select("file")
+
+
+def delta_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table folder with a log as a table: only the files it holds now. Their names go to the driver, as those of any
+    table's files do. Deletion vectors are not read."""
+    names = [r.file for r in delta_files(spark, path).collect()]
+    if not names:
+        raise ValueError(f"no data files in the log of {path}")
+    from urllib.parse import unquote
+
+    return spark.read.option("basePath", path).parquet(*(n if "://" in n or n.startswith("/") else f"{path}/{unquote(n)}" for n in names))
+
+
+def excel_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, row_no, cells array<string>) of workbooks, each read by the executor that holds it."""
+    if not importlib.util.find_spec("openpyxl"):
+        raise RuntimeError("reading Excel needs openpyxl on the executors")
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches):
+        import openpyxl
+        import pyarrow as pa
+
+        for b in batches:
+            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                book = openpyxl.load_workbook(io.BytesIO(data), read_only=True, data_only=True)
+                for sheet in book.worksheets:
+                    rows = [[None if v is None else str(v) for v in r] for r in sheet.iter_rows(values_only=True)]
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * n), pa.array([sheet.title] * n), pa.array(range(n), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["path", "sheet", "row_no", "cells"])
+
+    return arrow_map(books, run, "path string, sheet string, row_no bigint, cells array<string>")
+
+
 def schema_rows(df: DataFrame) -> list[tuple[str, str, bool]]:
     """(column, type, nullable) of a table, from its schema alone."""
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]

@@ -210,3 +210,22 @@ def test_procedures(spark):
     r = X.procedure_lineage(spark.createDataFrame([(1, code), (2, None)], "id int, code string"), "id", "code").orderBy("id").collect()
     assert sorted(r[0].targets) == ["accounts", "audit_log"] and sorted(r[0].sources) == ["ledger", "moves"] and r[0].confidence == 0.7 and "pay.run_all" in r[0].calls
     assert r[1].confidence == 0.3 and r[1].sources == []
+
+
+def test_names_that_contain_a_token(spark):
+    n = spark.createDataFrame([("1", "Orders_2024"), ("2", "orders"), ("3", "my orders orders"), ("4", None), (None, "orders"), ("5", "")], "id string, name string")
+    t = spark.createDataFrame([("ORDERS",), ("2024",), ("x",), ("",), (None,)], "token string")
+    got = sorted(map(tuple, X.containing(t, n).collect()))
+    assert got == [("2024", "1", False), ("orders", "1", False), ("orders", "2", True), ("orders", "3", False)]
+    assert sorted(map(tuple, X.first_containing(t, n).collect())) == [("2024", "1"), ("orders", "2")]
+    assert X.containing(t.where("false"), n).count() == 0
+
+
+def test_triggers_and_sql_of_assets(spark):
+    code = "BEGIN INSERT INTO audit_log SELECT * FROM hr.old_emp; END;"
+    t = spark.createDataFrame([("HR", "TRG", "EMP", code), ("HR", "TRG", "EMP", code), ("HR", None, "EMP", code), ("HR", "T2", "EMP", None)], "owner string, trigger_name string, table_name string, trigger_body string")
+    got = sorted(map(tuple, X.trigger_edges(t).collect()))
+    assert got == [("hr.emp", "hr.t2", "on", 0.9), ("hr.emp", "hr.trg", "on", 0.9), ("hr.old_emp", "hr.trg", "reads", 0.85)]
+    a = spark.createDataFrame([("A ", json.dumps({"sql_query": "select 1", "ddl": " ", "view_definition": None})), ("b", "{"), (None, '{"ddl": "x"}')], "id string, technical_metadata string")
+    d = spark.createDataFrame([(1, "a", '{"view_sql_commands": {"analytical_sql": "old"}}'), (2, " A", json.dumps(json.dumps({"view_sql_commands": {"operational_sql": "create view"}})))], "id int, asset_id string, schema_json string")
+    assert sorted(map(tuple, X.asset_sql(a, d).collect())) == [("a", "operational_sql", "create view"), ("a", "sql_query", "select 1")]

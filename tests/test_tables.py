@@ -227,3 +227,18 @@ def test_dictionary_scan_over_jdbc(spark):
     got = dictionary.scan(spark, url, "tables", driver=driver)
     assert sorted((r.OWNER, r.TABLE_NAME) for r in got.collect()) == [("HR", "DEPT"), ("HR", "EMP")]
     assert [r.owner for r in dictionary.schemas(got).collect()] == ["HR"]
+
+
+def test_table_folder_with_a_log(spark, tmp_path):
+    from metaloom.sources import files
+
+    for i in range(3):
+        spark.createDataFrame([(i,)], "x int").coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        part = next((tmp_path / f"w{i}").glob("part-*.parquet"))
+        part.rename(tmp_path / f"f{i}.parquet")
+    log = tmp_path / "_delta_log"
+    log.mkdir()
+    (log / ("0" * 20 + ".json")).write_text('{"add": {"path": "f0.parquet"}}\n{"metaData": {"id": "m"}}\n{"add": {"path": "f1.parquet"}}\n')
+    (log / ("0" * 19 + "1.json")).write_text('{"remove": {"path": "f0.parquet"}}\n{"add": {"path": "f2.parquet"}}\n')
+    assert sorted(r.file for r in files.delta_files(spark, str(tmp_path)).collect()) == ["f1.parquet", "f2.parquet"]
+    assert sorted(r.x for r in files.read(spark, str(tmp_path), "delta").collect()) == [1, 2]
