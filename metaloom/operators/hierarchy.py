@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.util import arrow_map, cut, cut_counted, loose_id
+from metaloom.util import arrow_map, cut, cut_counted, loose_id, tasks
 
 OUT = "asset_id string, node_status string, root_id string, depth int, n_descendants bigint, path_md5 string, path string"
 
@@ -48,7 +48,7 @@ def several_parents(links: DataFrame, parent: Column | str, child: Column | str)
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
     """Files sized to their rows: what is read again in every round should not be many small ones."""
-    return df.coalesce(max(1, rows // 200_000))
+    return df.coalesce(max(1, min(rows // 50_000, max(4 * tasks(df.sparkSession), rows // 2_000_000))))
 
 
 def components(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
