@@ -213,12 +213,22 @@ def n_shared(t):
     return N.shared_columns(_pairs(t), t("assets"))
 
 
-@R.add("infer_N11_J10_classes")
+_SETS = f"""{COLS}, c1 AS (SELECT DISTINCT {sid('asset_id')} AS k, lower(c ->> '$.name') AS n, lower(c ->> '$.type') AS t FROM cols WHERE c ->> '$.name' IS NOT NULL AND c ->> '$.type' IS NOT NULL),
+s1 AS (SELECT k, list_sort(list((n, t))) AS s FROM c1 GROUP BY 1), cl AS (SELECT k, min(k) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS members FROM s1 WHERE k IS NOT NULL)"""
+
+
+@R.add("infer_N11_J10_classes", f"WITH {_SETS} SELECT k AS asset_id, class_id FROM cl")
 def n_classes(t):
     return N.column_classes(t("assets")).select(F.col("key").alias("asset_id"), "class_id")
 
 
-@R.add("infer_N11_J10_all")
+@R.add(
+    "infer_N11_J10_all",
+    f"""WITH {_SETS}, x AS (SELECT c1.* FROM c1 JOIN cl ON cl.k = c1.k AND cl.class_id = c1.k),
+    j AS (SELECT a.k AS class_a, b.k AS class_b, count(*) AS n_shared FROM x a JOIN x b ON a.n = b.n AND a.t = b.t AND a.k < b.k GROUP BY 1, 2
+      UNION ALL SELECT x.k, x.k, count(*) FROM x JOIN cl ON cl.k = x.k AND cl.members > 1 GROUP BY 1)
+    SELECT class_a, class_b, n_shared, round(least(0.85, 0.7 + 0.05 * (n_shared - 2)), 2)::DOUBLE AS confidence FROM j WHERE n_shared >= 2""",
+)
 def n_shared_all(t):
     return N.shared_classes(t("assets"))
 
@@ -336,6 +346,15 @@ def n_stages(t):
     return t("assets").select("id", N.pipeline_stage(F.col("name"), F.col("catalog"), F.lit(None).cast("string"), F.col("id"), F.col("type")).alias("stage"))
 
 
+@R.add(
+    "infer_N17_relations",
+    f"""SELECT id, CASE WHEN contains(lower(relationship_type), 'extract') THEN 'extract' WHEN contains(lower(relationship_type), 'transform') THEN 'transform' WHEN contains(lower(relationship_type), 'load') THEN 'load'
+    WHEN contains(lower(source_asset_id), ':source:') AND contains(lower(target_asset_id), ':staging:') THEN 'extract' WHEN contains(lower(source_asset_id), ':staging:') AND contains(lower(target_asset_id), ':destination:') THEN 'load' END AS stage FROM lineage_relationships""",
+)
+def n_relations(t):
+    return t("lineage_relationships").select("id", N.relation_stage(F.col("relationship_type"), F.col("source_asset_id"), F.col("target_asset_id")).alias("stage"))
+
+
 # addresses and names
 
 

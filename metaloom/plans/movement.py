@@ -194,6 +194,24 @@ def k_hide(t):
     return K.hide(d, D.schema_duplicates(d)).select("id", "is_visible")
 
 
+@R.add("sink_K9_restore", "SELECT id, is_visible OR coalesce(storage_type = 'aws_s3', false) AS is_visible FROM data_discovery")
+def k_restore(t):
+    """Hidden scans of one kind of store come back."""
+    d = t("data_discovery")
+    return K.restore(d, d.where("storage_type = 'aws_s3'")).select("id", "is_visible")
+
+
+@R.add(
+    "sink_K9_merge_edges",
+    """SELECT source_asset_id, target_asset_id, source_job_id, id, confidence_score FROM (SELECT *, row_number() OVER (PARTITION BY source_asset_id, target_asset_id, source_job_id ORDER BY coalesce(confidence_score, -1) DESC, id) AS r FROM lineage_relationships) WHERE r = 1""",
+)
+def k_merge(t):
+    """Edges since April with those from before, the most trusted of each key."""
+    e = t("lineage_relationships").select("source_asset_id", "target_asset_id", "source_job_id", "id", "confidence_score", "created_at")
+    new = F.coalesce(F.col("created_at") >= F.lit(datetime(2025, 4, 1)), F.lit(False))
+    return K.merge_edges(e.where(new).drop("created_at"), e.where(~new).drop("created_at"))
+
+
 @R.add("sink_K10_notified", "SELECT id, CASE WHEN created_at > TIMESTAMP '2025-06-01' - INTERVAL 600 MINUTES AND created_at <= TIMESTAMP '2025-06-01' THEN TIMESTAMP '2025-06-01' END AS notification_sent_at FROM data_discovery")
 def k_notified(t):
     d, now = t("data_discovery"), datetime(2025, 6, 1)

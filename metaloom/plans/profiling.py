@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from metaloom.functions import masking, paths, pii
@@ -258,6 +259,21 @@ def pii_values(t):
     return t("documents").where("text is not null").select("doc_id", F.array_join(pii.types_by_value(F.col("text")), ",").alias("types"))
 
 
+@R.add(
+    "pii_I3_samples",
+    rf"""WITH v AS (SELECT c_nationkey, c_custkey, c_name || ' ' || c_mktsegment || '@mail.example.com 555-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS x FROM customer),
+    d AS (SELECT c_nationkey, string_agg(x, ' ' ORDER BY c_custkey) AS text FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM v) WHERE r <= 20 GROUP BY 1)
+    SELECT c_nationkey, array_to_string(list_sort(list_filter([{_VT}], lambda x: x IS NOT NULL)), ',') AS types FROM d""",
+)
+def pii_samples(t):
+    """The first twenty values of each group, by key, as the samples of a column."""
+    x = F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit("@mail.example.com 555-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")  # ranks are limited before the shuffle
+    top = t("customer").select("c_nationkey", "c_custkey", x.alias("x"), F.row_number().over(w).alias("r")).where("r <= 20")
+    v = top.groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "x"))), lambda y: y["x"]).alias("v"))
+    return v.select("c_nationkey", F.array_join(pii.types_by_value(pii.sample_text(F.col("v"))), ",").alias("types"))
+
+
 @R.add(
     "pii_I6_listing",
     f"""WITH {COLS}, l AS (SELECT asset_id, regexp_matches(lower(coalesce(c ->> '$.name', '') || ' ' || coalesce(c ->> '$.description', '')), 'email|e-mail|mail|phone|mobile|cell|telephone|firstname|lastname|fullname|name|address|street|city|zip|postal|ssn|social|passport|license|id|credit|card|account|bank|birth|age|gender|race|ethnicity|location|gps|coordinate|lat|lng|password|secret|private|confidential') AS p FROM cols WHERE c ->> '$.name' IS NOT NULL)

@@ -74,25 +74,6 @@ def cut_counted(df: DataFrame, tag: str, **counts: Column) -> tuple[DataFrame, d
     return out, {n: int(got[n]) if n in got else out.where(c).count() for n, c in counts.items()}
 
 
-def cut_split(df: DataFrame, tag: str, side: Column) -> tuple[DataFrame, DataFrame, int, int]:
-    """cut() into the rows for which a condition holds and the others, each with a size of its own that the
-    optimiser can see, and the numbers of both, counted while they are written."""
-    from pyspark.sql import Observation
-
-    spark, seen = df.sparkSession, Observation()
-    path = f"{shared_dir(spark)}/metaloom/{tag}-{uuid.uuid4().hex}"
-    side = F.coalesce(side, F.lit(False))
-    watched = df.withColumn("__side", side).observe(seen, F.count_if("__side").alias("yes"), F.count_if(~F.col("__side")).alias("no"))
-    watched.write.option("compression", "zstd").partitionBy("__side").parquet(path)
-    _written.append((spark, path))
-    got = seen.get or {}
-    if "yes" not in got:
-        all_ = spark.read.schema(watched.schema).parquet(path)
-        got = all_.agg(F.count_if("__side").alias("yes"), F.count_if(~F.col("__side")).alias("no")).first().asDict()
-    part = lambda n, v: spark.read.schema(df.schema).parquet(f"{path}/__side={v}") if n else spark.createDataFrame([], df.schema)
-    return part(got["yes"], "true"), part(got["no"], "false"), int(got["yes"]), int(got["no"])
-
-
 @atexit.register
 def forget() -> None:
     """Drop everything that cut() wrote."""
