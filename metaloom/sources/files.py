@@ -192,8 +192,11 @@ def delta_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delta_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table folder with a log as a table: only the files it holds now. Their names go to the driver, as those of any
+    """A table folder with a log as a table: only the files it holds now; a folder without a log is its files. Their names go to the driver, as those of any
     table's files do. Deletion vectors are not read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_delta_log")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.read.parquet(path)
     names = [r.file for r in delta_files(spark, path).collect()]
     if not names:
         raise ValueError(f"no data files in the log of {path}")
