@@ -1,4 +1,6 @@
+import json
 import random
+from difflib import SequenceMatcher
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -23,3 +25,37 @@ def test_links_of_classes_are_not_shuffled(spark):
     links = N.shared_classes(a)
     assert links.count() == 40 * 39 // 2 and {(r.n_shared, r.confidence) for r in links.collect()} == {(2, 0.7)}
     assert "hashpartitioning(class_a" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_texts_against_all_pairs():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aábc_-0") for _ in range(rng.choice((0, 1, 2, 5, 9, 12, 70, 210)))) for _ in range(150)] + ["axbxc", "aybyc", "", "_"]
+    names = [(w, w.replace("_", "").replace("-", ""), w.removesuffix("_0")) for w in words]
+    for least in (0.6, 0.7):
+        i, j, s = B.similar(names, names[::-1], least, 0.95, 0.9, 0.85)
+        got = dict(zip(zip(i.tolist(), j.tolist()), s.tolist()))
+        want = {}
+        for p, (a, u, x) in enumerate(names):
+            for q, (b, v, y) in enumerate(names[::-1]):
+                r = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+                z = 1.0 if a == b else 0.95 if u == v else max(r, 0.9) if x == y else max(r, 0.85) if u in v or v in u else r
+                if z >= least:
+                    want[p, q] = z
+        assert got == want
+
+
+def test_names_without_a_common_pair_of_letters(spark):
+    a, b = spark.createDataFrame([("AxBxC",), ("AxBxC",), (None,), ("",)], "a string"), spark.createDataFrame([("aybyc",), ("qqq",)], "b string")
+    assert [(r.a, r.b, r.similarity) for r in N.similar_names(a, b).collect()] == [("AxBxC", "aybyc", 0.6)]
+
+
+def test_files_of_tables_in_any_blocks(spark, monkeypatch):
+    doc = lambda *c: json.dumps([{"name": n, "type": "t"} for n in c])
+    rows = [("t1", "S.LOAN_0000100", "o", doc("x_id", "name")), ("t1 ", "LOAN_0000100", "o", None), ("t2", "LOAN_0000250", "o", None), ("t3", None, "o", doc("q"))]
+    rows += [(f"f{i}", f"a/loan-{i * 37:07d}.csv", "a", doc("name", "x_key") if i % 2 else doc("zzz") if i % 4 else None) for i in range(60)]
+    a = spark.createDataFrame(rows, "id string, name string, connector_id string, columns string").withColumn("operational_metadata", F.lit(None).cast("string"))
+    search = lambda: sorted(map(tuple, N.search_files(a.where("connector_id = 'o'"), a.where("connector_id = 'a'")).collect()))
+    want = search()
+    assert len(want) > 20 and {r[3] for r in want if r[0] == "t1" and int(r[1][1:]) % 2} == {0.9} and {r[0] for r in want} == {"t1", "t2"}
+    monkeypatch.setattr(B, "FEW", 9)
+    assert search() == want
