@@ -3,7 +3,9 @@ import random
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
+from test_lineage import NAMES, plain_match
 
 from metaloom.operators import blocks as B
 from metaloom.operators import inference as N
@@ -59,3 +61,25 @@ def test_files_of_tables_in_any_blocks(spark, monkeypatch):
     assert len(want) > 20 and {r[3] for r in want if r[0] == "t1" and int(r[1][1:]) % 2} == {0.9} and {r[0] for r in want} == {"t1", "t2"}
     monkeypatch.setattr(B, "FEW", 9)
     assert search() == want
+
+
+def test_search_finds_all_pairs_without_shuffling_them(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [n for n in NAMES if n]
+    cols = {f"k{i}": [rng.choice(words) for _ in range(rng.randint(0, 6))] for i in range(50)}
+    where = {k: rng.choice(["azure_x", "azure_y", "oracle_z", None]) for k in cols}
+    a = spark.createDataFrame([(k, where[k], json.dumps([{"name": n, "type": "t"} for n in c])) for k, c in cols.items()], "id string, connector_id string, columns string")
+    q = [k for k in cols if int(k[1:]) % 5 == 0]
+    monkeypatch.setattr(B, "FEW", 4)
+    monkeypatch.setattr(B, "PIECE", 3)
+    for across, least, cap in ((False, 0.65, 0.85), (True, 0.7, 0.9)):
+        scope = {k: ((w or "unknown").split("_")[0] if across else w or "unknown") for k, w in where.items()}
+        want = {}
+        for s in q:
+            for t in cols:
+                n, c = plain_match(cols[s], cols[t], 0.4)
+                if s != t and (scope[s] == scope[t]) != across and n and c >= least:
+                    want[s, t] = (n, pytest.approx(min(c, cap), abs=1e-5))
+        links = N.search_columns(a.where(F.col("id").isin(q)), a, across, least, 0.4, cap)
+        assert {(r.source, r.target): (r.n_matches, r.confidence) for r in links.collect()} == want and len(want) > 10
+        assert "hashpartitioning(source" not in links._jdf.queryExecution().executedPlan().toString()
