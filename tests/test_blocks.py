@@ -22,6 +22,32 @@ def test_overlaps_against_all_pairs(spark):
     assert B.overlaps(df.where("false"), 2).count() == 0
 
 
+def shuffled(node) -> int:
+    """Records that the exchanges of a plan that has run wrote."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled(node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_sets_are_not_copied_for_every_block(spark):
+    sets = {f"k{i:03d}": [i % 5, 10 + i % 7, 20 + i % 3, 30 + i % 2] for i in range(200)}
+    df = spark.createDataFrame(list(sets.items()), "key string, items array<bigint>")
+    links = B.overlaps(df, 3, 10)
+    want = {(a, b, n) for a, b in combinations(sets, 2) if (n := len({*sets[a]} & {*sets[b]})) >= 3}
+    assert {(r.a, r.b, r.n) for r in links.collect()} == want and len(want) > 500
+    assert shuffled(links._jdf.queryExecution().executedPlan()) <= 2 * len(sets)  # 20 blocks
+
+
+def test_texts_of_columns_that_run_together_differ(spark):
+    cols = {"p": [("ab", "c"), ("x", "t")], "q": [("a", "bc"), ("x", "t")], "r": [("1", ":t"), ("AB", "C"), ("X", "T")]}
+    a = spark.createDataFrame([(k, json.dumps([{"name": n, "type": t} for n, t in c])) for k, c in cols.items()], "id string, columns string")
+    assert [tuple(r) for r in N.shared_classes(a).collect()] == [("p", "r", 2, 0.7)]
+
+
 def test_links_of_classes_are_not_shuffled(spark):
     a = spark.range(40).select(F.concat(F.lit("k"), "id").alias("id"), F.format_string('[{"name": "x", "type": "t"}, {"name": "Y", "type": "t"}, {"name": "c%d", "type": "t"}]', F.col("id")).alias("columns"))
     links = N.shared_classes(a)
